@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import topk, url_filter
+from citeloom.llm import pii, topk, url_filter
 from citeloom.llm.common import table
 
 #: Host, path and kind of the rules.
@@ -22,12 +22,22 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, "page_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: s["base"])
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("pii_spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ints = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
     return topk.search(ints.filter(F.col("id") % 20 == 0), ints, 20)
 
 
-QUERIES = {"op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
+QUERIES = {"op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
 
 ORACLES = {
     "op7_url_filter": r"""
@@ -45,6 +55,53 @@ WITH p AS (
 )
 SELECT h.page_id, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM h LEFT JOIN m ON h.page_id = m.page_id AND m.k = 1
+""",
+    "op9_pii": r"""
+WITH raw AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), k(kind, ord, rx) AS (
+  VALUES ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), ('ip', 2, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+         ('card', 3, '[0-9]([ -]?[0-9])+'), ('phone', 4, '\+[0-9][ ().0-9-]+[0-9]'), ('group', 3, '[0-9]+'), ('iban', 5, '[A-Za-z0-9]+')
+), pieces AS (
+  SELECT doc_id, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM raw
+  UNION ALL SELECT doc_id, 'ip', regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM raw
+  UNION ALL SELECT doc_id, 'card', regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), string_split_regex(t, '[0-9]([ -]?[0-9])+') FROM raw
+  UNION ALL SELECT doc_id, 'phone', regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][ ().0-9-]+[0-9]') FROM raw
+  UNION ALL SELECT doc_id, 'group', regexp_extract_all(t, '[0-9]+'), string_split_regex(t, '[0-9]+') FROM raw
+  UNION ALL SELECT doc_id, 'iban', regexp_extract_all(t, '[A-Za-z0-9]+'), string_split_regex(t, '[A-Za-z0-9]+') FROM raw
+), unnested AS (
+  SELECT doc_id, kind, unnest(m) AS v, unnest(g[:len(m)]) AS gap, unnest(range(len(m))) AS i FROM pieces
+), placed AS (
+  SELECT doc_id, kind, v, (sum(length(gap) + length(v)) OVER (PARTITION BY doc_id, kind ORDER BY i) - length(v))::bigint AS s FROM unnested
+), tested AS (
+  SELECT doc_id, kind, v, s, s + length(v) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM placed
+), checked AS (
+  SELECT *, list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN d[i]::int WHEN d[i]::int < 5 THEN d[i]::int * 2 ELSE d[i]::int * 2 - 9 END)) % 10 = 0 AS luhn
+  FROM tested WHERE kind <> 'iban' AND NOT (kind IN ('card', 'group') AND length(d) NOT BETWEEN 13 AND 19)
+), base AS (
+  SELECT doc_id, kind, s, e FROM checked
+  WHERE kind = 'email' OR kind = 'phone' AND length(d) BETWEEN 9 AND 15 OR kind = 'card' AND luhn
+     OR kind = 'ip' AND len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255')) = 0
+), iban AS (
+  SELECT doc_id, s, e FROM tested
+  WHERE kind = 'iban' AND regexp_full_match(v, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}')
+    AND list_reduce(list_prepend(0::bigint, list_transform(string_split(v[5:] || v[:4], ''), lambda c: (CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)::bigint)),
+        lambda a, b: (CASE WHEN b > 9 THEN a * 100 + b ELSE a * 10 + b END) % 97) = 1
+), spans AS (
+  SELECT doc_id, kind, s, e, true AS base FROM base
+  UNION ALL
+  SELECT g.doc_id, 'card', g.s, g.e, false FROM checked g
+  WHERE kind = 'group' AND luhn AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = g.doc_id AND b.kind = 'card' AND b.s < g.e AND g.s < b.e)
+  UNION ALL SELECT doc_id, 'iban', s, e, false FROM iban
+), agg AS (
+  SELECT doc_id, count(*) FILTER (base AND spans.kind = 'email') AS n_email, count(*) FILTER (base AND spans.kind = 'ip') AS n_ip,
+         count(*) FILTER (base AND spans.kind = 'card') AS n_card, count(*) FILTER (base AND spans.kind = 'phone') AS n_phone,
+         string_agg(concat_ws(':', spans.kind, s, e), ',' ORDER BY ord, s) FILTER (base) AS b, string_agg(concat_ws(':', spans.kind, s, e), ',' ORDER BY ord, s) AS a
+  FROM spans JOIN k ON k.kind = spans.kind GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+FROM raw LEFT JOIN agg USING (doc_id)
 """,
     "op10_topk": """
 WITH v AS (
