@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import pii, topk, url_filter
-from citeloom.llm.common import table
+from citeloom.llm import pii, topk, url_filter, warc
+from citeloom.llm.common import table, write_shared
 
 #: Host, path and kind of the rules.
 URL_RULES = (
@@ -18,6 +18,12 @@ URL_RULES = (
 )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_shared(warc.write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html"), "warc", codec="none")
+    records = warc.read_archives(archives, payloads=False)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, "page_id")
 
@@ -37,9 +43,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(ints.filter(F.col("id") % 20 == 0), ints, 20)
 
 
-QUERIES = {"op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
+QUERIES = {"op3_warc": op3_warc, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
 
 ORACLES = {
+    "op3_warc": """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+  SELECT page_id, octet_length(b)::bigint AS payload_bytes, sha256(b) AS payload_digest, min(page_id) OVER (PARTITION BY sha256(b)) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM d
+""",
     "op7_url_filter": r"""
 WITH p AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
