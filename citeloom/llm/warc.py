@@ -14,7 +14,8 @@ found by an aggregation over digests, and joined to the rows by digest (a join w
 hot digests Spark may split), before any byte is written.
 
 Defined results: a null payload counts as empty; payloads under ``min_revisit`` bytes
-are always responses; a null URL is written as ``urn:`` and the key. Damaged or truncated members and wrong
+are always responses; a null URL is written as ``urn:page:`` and the key; rows with a null
+key are kept, with a null key. Damaged or truncated members and wrong
 digests raise ``WarcError``.
 """
 
@@ -47,15 +48,15 @@ def digest(data: bytes) -> str:
     return "sha256:" + base64.b32encode(hashlib.sha256(data).digest()).decode().rstrip("=")
 
 
-def record_id(key: int) -> str:
+def record_id(key: str) -> str:
     return f"<urn:page:{key}>"
 
 
-def record_key(name: str) -> int:
-    return int(name.removeprefix("<urn:page:").removesuffix(">"))
+def record_key(name: str) -> str:
+    return name.removeprefix("<urn:page:").removesuffix(">")
 
 
-def record(key: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(key: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """A record as one gzip member."""
     block = HTTP_HEAD if refers_to is not None else HTTP_HEAD + payload
     target = url if url and not any(c in url for c in "\r\n") else f"urn:page:{key}"
@@ -83,11 +84,11 @@ class Record:
     block: bytes
 
     @property
-    def key(self) -> int:
+    def key(self) -> str:
         return record_key(self.fields["warc-record-id"])
 
     @property
-    def refers_to(self) -> int | None:
+    def refers_to(self) -> str | None:
         name = self.fields.get("warc-refers-to")
         return None if name is None else record_key(name)
 
@@ -152,15 +153,17 @@ def write_archives(df: DataFrame, key: str, url: str, payload: str, min_revisit:
     """Rows (archive binary): each holds some records of df, in the order of its partition."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.encode(F.coalesce(payload, F.lit("")), "UTF-8").alias("payload"))
     # Short payloads get a key of their own in place of a digest: it finds no partner, and they do not meet in one task.
-    rows = rows.withColumn("digest", F.when(F.length("payload") >= min_revisit, F.unhex(F.sha2("payload", 256))).otherwise(F.coalesce("key", F.lit(-1)).cast("binary")))
+    rows = rows.withColumn("digest", F.when(F.length("payload") >= min_revisit, F.unhex(F.sha2("payload", 256))).otherwise(F.encode(F.coalesce(F.col("key").cast("string"), F.lit("")), "UTF-8")))
     first = rows.filter(F.length("digest") == 32).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    placed = rows.join(first, "digest", "left").select("key", "url", "payload", F.when(F.col("first") != F.col("key"), F.col("first")).alias("refers_to"))
+    # Keys travel as strings: a null among integers would turn the batch into floating point.
+    name = F.coalesce(F.col("key").cast("string"), F.lit(""))
+    placed = rows.join(first, "digest", "left").select(name.alias("key"), "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("key")), F.col("first")).cast("string").alias("refers_to"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, size = [], 0
         for b in batches:
             for k, u, p, r in zip(b["key"], b["url"], b["payload"], b["refers_to"], strict=True):
-                parts.append(record(int(k), u, bytes(p), None if pd.isna(r) else int(r)))
+                parts.append(record(k, u, bytes(p), r))
                 size += len(parts[-1])
                 if size >= archive_bytes:
                     yield pd.DataFrame({"data": [b"".join(parts)]})
@@ -173,9 +176,9 @@ def write_archives(df: DataFrame, key: str, url: str, payload: str, min_revisit:
 
 RECORDS = T.StructType(
     [
-        T.StructField("key", T.LongType()),
+        T.StructField("key", T.StringType()),
         T.StructField("record_type", T.StringType()),
-        T.StructField("refers_to", T.LongType()),
+        T.StructField("refers_to", T.StringType()),
         T.StructField("url", T.StringType()),
         T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload_digest", T.StringType()),
@@ -189,9 +192,7 @@ def read_archives(archives: DataFrame, data: str = "data", payloads: bool = True
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def frame(rows: list) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=RECORDS.names)
-            out["refers_to"] = out["refers_to"].astype("Int64")
-            return out
+            return pd.DataFrame(rows, columns=RECORDS.names)
 
         for b in batches:
             for archive in b[data]:
@@ -209,4 +210,5 @@ def read_archives(archives: DataFrame, data: str = "data", payloads: bool = True
                 if rows:
                     yield frame(rows)
 
-    return archives.select(data).mapInPandas(unpack, RECORDS)
+    out = archives.select(data).mapInPandas(unpack, RECORDS)
+    return out.withColumns({c: F.expr(f"try_cast({c} AS bigint)") for c in ("key", "refers_to")})
