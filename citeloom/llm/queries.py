@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import pii, topk, url_filter, warc
-from citeloom.llm.common import table, write_shared
+from citeloom.llm import media, pii, topk, url_filter, warc
+from citeloom.llm.common import table, text_of, write_shared
 
 #: Host, path and kind of the rules.
 URL_RULES = (
@@ -18,6 +18,20 @@ URL_RULES = (
 )
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(text_of(F.col("text")), "UTF-8").alias("bytes"))
+    docs = docs.select("doc_id", F.length("bytes").cast("long").alias("n_bytes"), media.padded(F.col("bytes")).alias("payload"))
+    features = media.media_features(media.store_media(docs, "payload"))
+    # Each document as a page: a line of text and its payload as a figure, by digest.
+    html = F.format_string('<p>%s</p><figure><img src="sha256:%s" data-length="%s"><figcaption>%s</figcaption></figure>', F.lit("document"), F.sha2("payload", 256), "n_bytes", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    pages = media.parse_sequences(docs.select("doc_id", html.alias("html")), "doc_id", "html")
+    found = media.resolve(media.references(pages, "doc_id"), features)
+    hexed = lambda c: F.lower(F.hex(c))
+    return found.select(
+        "doc_id", F.col("length").alias("n_bytes"), "payload_bytes", hexed("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media_sha").alias("media_sha256"), "feature", "position", "caption"
+    )
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_shared(warc.write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html"), "warc", codec="none")
     records = warc.read_archives(archives, payloads=False)
@@ -43,7 +57,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(ints.filter(F.col("id") % 20 == 0), ints, 20)
 
 
-QUERIES = {"op3_warc": op3_warc, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
+QUERIES = {"op1_media": op1_media, "op3_warc": op3_warc, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
 
 ORACLES = {
     "op3_warc": """
