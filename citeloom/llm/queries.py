@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import media, pii, topk, url_filter, warc
+from citeloom.llm import media, mixing, pii, topk, url_filter, warc
 from citeloom.llm.common import table, text_of, write_shared
 
 #: Host, path and kind of the rules.
@@ -38,6 +38,38 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Weights of the sources by code point, repeating; no document is taken more often than so.
+MIX_WEIGHTS, MIX_REPEATS = (5, 2, 1), 3
+
+
+def mix_targets(patterns: list) -> dict:
+    """Each source's size and exact target, where a document has one source."""
+    names = sorted((p[0] for p, _ in patterns), key=lambda s: (s is None, s or ""))
+    size = {p[0]: n for p, n in patterns}
+    exact = mixing.quotas([size[s] for s in names], [MIX_WEIGHTS[i % len(MIX_WEIGHTS)] for i in range(len(names))], MIX_REPEATS)
+    return {s: (size[s], t) for s, t in zip(names, exact, strict=True)}
+
+
+def mixed(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """doc_id, size, pattern, taken of all documents; by source, its size and target."""
+    targets: dict = {}
+
+    def quota(patterns: list) -> dict:
+        targets.update(mix_targets(patterns))
+        return {s: round(t) for s, (_, t) in targets.items()}
+
+    sized = docs.select("doc_id", mixing.words(F.col("text")).alias("size"), F.array("source").alias("sources"))
+    return mixing.mix(sized, "doc_id", "size", "sources", quota, MIX_REPEATS), targets
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, targets = mixed(table(spark, sf_dir, "documents"))
+    sources = spark.createDataFrame([(s, n, float(t)) for s, (n, t) in targets.items()], "source string, source_size long, target double")
+    source = F.element_at("pattern", 1)
+    out = taken.join(F.broadcast(sources), source.eqNullSafe(sources["source"]))  # bound: the mix's max_patterns
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, "page_id")
 
@@ -57,7 +89,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(ints.filter(F.col("id") % 20 == 0), ints, 20)
 
 
-QUERIES = {"op1_media": op1_media, "op3_warc": op3_warc, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
+QUERIES = {"op1_media": op1_media, "op3_warc": op3_warc, "op6_mixing": op6_mixing, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
 
 ORACLES = {
     "op3_warc": """
