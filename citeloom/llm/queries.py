@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import media, mixing, pii, topk, url_filter, warc
+from citeloom.llm import media, mixing, pii, quality, topk, url_filter, warc
 from citeloom.llm.common import table, text_of, write_shared
 
 #: Host, path and kind of the rules.
@@ -38,6 +38,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Scores from here on count as good.
+QUALITY_FROM = 0.3
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_FROM).cast("int"))
+
+
 #: Weights of the sources by code point, repeating; no document is taken more often than so.
 MIX_WEIGHTS, MIX_REPEATS = (5, 2, 1), 3
 
@@ -89,7 +98,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(ints.filter(F.col("id") % 20 == 0), ints, 20)
 
 
-QUERIES = {"op1_media": op1_media, "op3_warc": op3_warc, "op6_mixing": op6_mixing, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
+QUERIES = {"op1_media": op1_media, "op3_warc": op3_warc, "op4_quality": op4_quality, "op6_mixing": op6_mixing, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
 
 ORACLES = {
     "op3_warc": """
