@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import media, mixing, pii, quality, topk, url_filter, warc
+from citeloom.llm import media, mixing, packing, pii, quality, topk, url_filter, warc
 from citeloom.llm.common import table, text_of, write_shared
 
 #: Host, path and kind of the rules.
@@ -47,6 +47,25 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_FROM).cast("int"))
 
 
+def tokenizer_files() -> dict:
+    """Where the vocabulary lies on this machine (it is installed on every executor)."""
+    import public_tokenizers
+
+    return {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+PACK_TOKENS = 1024
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    out = packing.pack_documents(docs, "doc_id", "text", **tokenizer_files(), capacity=PACK_TOKENS)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 #: Weights of the sources by code point, repeating; no document is taken more often than so.
 MIX_WEIGHTS, MIX_REPEATS = (5, 2, 1), 3
 
@@ -98,7 +117,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(ints.filter(F.col("id") % 20 == 0), ints, 20)
 
 
-QUERIES = {"op1_media": op1_media, "op3_warc": op3_warc, "op4_quality": op4_quality, "op6_mixing": op6_mixing, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
+QUERIES = {"op1_media": op1_media, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
 
 ORACLES = {
     "op3_warc": """
