@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.operators.tables import written as write_shared
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+__all__ = ["table", "text_of", "write_shared"]
 
-    It is what ``spark.checkpoint.dir`` names. Where that is unset (local runs
-    and tests), a folder under /tmp is set for this session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            base = jdir.get()
-        else:
-            base = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-            spark.sparkContext.setCheckpointDir(base)
-    return base
 
-
-def write_shared(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write a table into the shared folder and read it back.
-
-    This cuts the lineage: what follows survives the loss of any executor
-    without recomputing what came before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/citeloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_of(col) -> F.Column:
+def text_of(col: Column) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(col, F.lit(""))

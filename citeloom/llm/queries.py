@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import media, mixing, packing, pii, quality, topk, url_filter, warc
+from citeloom.llm import jaccard, media, mixing, packing, pii, quality, topk, url_filter, warc
 from citeloom.llm.common import table, text_of, write_shared
 
 #: Host, path and kind of the rules.
@@ -102,6 +102,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, "page_id")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text", 5, 80)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s["base"])
@@ -117,7 +121,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(ints.filter(F.col("id") % 20 == 0), ints, 20)
 
 
-QUERIES = {"op1_media": op1_media, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op10_topk": op10_topk}
+QUERIES = {"op1_media": op1_media, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op8_jaccard": op8_jaccard, "op10_topk": op10_topk}
 
 ORACLES = {
     "op3_warc": """
