@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import jaccard, media, mixing, packing, pii, quality, topk, url_filter, warc
+from citeloom.llm import jaccard, media, mixing, packing, pii, quality, suffix, topk, url_filter, warc
 from citeloom.llm.common import table, text_of, write_shared
 
 #: Host, path and kind of the rules.
@@ -32,6 +32,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"), "doc_id", "text", 100).drop("spans")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_shared(warc.write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html"), "warc", codec="none")
     records = warc.read_archives(archives, payloads=False)
@@ -121,7 +125,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(ints.filter(F.col("id") % 20 == 0), ints, 20)
 
 
-QUERIES = {"op1_media": op1_media, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op8_jaccard": op8_jaccard, "op10_topk": op10_topk}
+QUERIES = {"op1_media": op1_media, "op2_suffix": op2_suffix, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op9_pii": op9_pii, "op7_url_filter": op7_url_filter, "op8_jaccard": op8_jaccard, "op10_topk": op10_topk}
 
 ORACLES = {
     "op3_warc": """
