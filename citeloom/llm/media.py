@@ -25,6 +25,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,12 +110,14 @@ def sequence(html: str | None) -> list[dict]:
 def parse_sequences(df: DataFrame, key: str, html: str) -> DataFrame:
     """key, items: the ordered texts and media references of every document."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media", pa.string()), ("caption", pa.string()), ("length", pa.int64())])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "items": [sequence(h) for h in b["html"]]})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sequence(h) for h in b.column(1).to_pylist()], pa.list_(item))], names=["key", "items"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(parse, f"key {kind}, items {ITEMS}").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(parse, f"key {kind}, items {ITEMS}").withColumnRenamed("key", key)
 
 
 def padded(payload: Column) -> Column:

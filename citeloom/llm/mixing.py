@@ -116,18 +116,25 @@ def route(patterns: Sequence[tuple[tuple, int]], quota: dict, max_repeats: int)
     return [sum(flow.edges[e ^ 1][1] for e in es) for es in tiers]
 
 
-def mix(df: DataFrame, key: str, size: str, sources: str, quota: Callable[[list], dict], max_repeats: int = 3, seed: str = "mix", max_patterns: int = 4096) -> DataFrame:
-    """key, size, pattern, taken: the words that the mix takes of each document.
+def keyed(df: DataFrame, key: str, size: Column, sources: Column, seed: str) -> DataFrame:
+    """Add the columns that a plan is made from and applied to: mix_size, mix_id (of the pattern), mix_draw.
+
+    The seeded order does not depend on partitions; rows with the same key are taken together.
+    """
+    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return df.withColumns({"mix_size": size.cast("long"), "mix_id": F.to_json(F.struct(sources.alias("p"))), "mix_draw": draw})
+
+
+def plan_mix(df: DataFrame, key: str, size: Column, sources: Column, quota: Callable[[list], dict], max_repeats: int = 3, seed: str = "mix", max_patterns: int = 4096) -> DataFrame:
+    """What to take of each pattern: mix_id, passes, cuts (a row for each pattern).
 
     sources: an array column, the sources a document belongs to. quota: from the list of
     (pattern, size), the words by source.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size"), F.col(sources).alias("pattern"))
-    # The seeded order does not depend on partitions; rows with the same key are taken together.
-    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")))
-    docs = write_shared(docs.withColumns({"id": F.to_json(F.struct(F.col("pattern").alias("p"))), "draw": draw}), "mix")
-    sums = docs.groupBy("id", "pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
+    docs = keyed(df, key, size, sources, seed).select(F.col("mix_id").alias("id"), F.col("mix_size").alias("size"), F.col("mix_draw").alias("draw"), sources.alias("pattern"))
+    docs = write_shared(docs, "mix")
+    sums = docs.groupBy("id").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(sums) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     sums = sorted(sums, key=lambda r: r["id"])
@@ -144,9 +151,14 @@ def mix(df: DataFrame, key: str, size: str, sources: str, quota: Callable[[list]
         for i, (last, taken) in found.items():
             cuts[i].append((left[i], last))
             left[i] -= taken
-    plan = spark.createDataFrame([(i, passes[i], cuts[i]) for i in cuts], "id string, passes long, cuts array<struct<most: bigint, last: bigint>>")
-    out = docs.join(F.broadcast(plan), "id")  # bound: max_patterns rows of at most ROUNDS cuts
-    return out.select(F.col("key").alias(key), "size", "pattern", (F.col("size") * (F.col("passes") + _chosen().cast("long"))).alias("taken"))
+    return spark.createDataFrame([(i, passes[i], cuts[i]) for i in cuts], "mix_id string, passes long, cuts array<struct<most: bigint, last: bigint>>")
+
+
+def take(df: DataFrame, plan: DataFrame, key: str, size: Column, sources: Column, seed: str = "mix") -> DataFrame:
+    """Add mix_size and mix_taken, the words that the mix takes of each row; no shuffle."""
+    rows = keyed(df, key, size, sources, seed).join(F.broadcast(plan), "mix_id")  # bound: max_patterns rows of at most ROUNDS cuts
+    chosen = F.exists("cuts", lambda c: (F.col("mix_size") <= c["most"]) & (F.col("mix_draw") <= c["last"]))
+    return rows.withColumn("mix_taken", F.col("mix_size") * (F.col("passes") + chosen.cast("long"))).drop("mix_id", "mix_draw", "passes", "cuts")
 
 
 def _chosen() -> Column:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,25 +71,26 @@ def tokenize(df: DataFrame, key: str, text: str, path: str, ranks: str | None =
     """key, piece, start, length, ids_crc32 [, ids], and part and place: the piece's rank among those of its length in its partition."""
     loaded: list[Tokenizer] = []
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not loaded:
             loaded.append(Tokenizer(path, ranks, pattern))
         part, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
             rows = []
-            for k, t in enumerate(b["text"]):
+            for k, t in enumerate(b.column(1).to_pylist()):
                 ids = np.array([*loaded[0].encode(t), END], "<u4")
                 for i, (at, n) in enumerate(cut(len(ids), capacity)):
-                    own = ids[at : at + n]
-                    rows.append((k, i, at, n, zlib.crc32(own.tobytes()), part, seen[n], own.tobytes() if keep_ids else None))
+                    own = ids[at : at + n].tobytes()
+                    rows.append((k, i, at, n, zlib.crc32(own), part, seen[n], own if keep_ids else None))
                     seen[n] += 1
-            out = pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32", "part", "place", "ids"])
-            out.insert(0, "key", b["key"].to_numpy()[out.pop("k").to_numpy(int)])
-            yield out
+            if rows:
+                own, *rest = zip(*rows, strict=True)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=["key", "piece", "start", "length", "ids_crc32", "part", "place", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    out = rows.mapInPandas(pieces, f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, place long, ids binary")
+    out = rows.mapInArrow(pieces, f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, place long, ids binary")
     return (out if keep_ids else out.drop("ids")).withColumnRenamed("key", key)
 
 
@@ -168,19 +169,22 @@ def pack(pieces: DataFrame, capacity: int = 1024, documents: int | None = None,
     first = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = pieces.join(first, ["part", "length"]).withColumn("rank", F.col("before") + F.col("place")).drop("before", "part", "place")
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ranked.columns
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seq, off = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for n, at in b.groupby("length").indices.items():
+            length, rank = (b.column(names.index(c)).to_numpy() for c in ("length", "rank"))
+            seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            for n in np.unique(length).tolist():
+                at = np.flatnonzero(length == n)
                 r = ranges[n]
-                rank = b["rank"].to_numpy()[at]
-                own = r[np.searchsorted(r[:, 0], rank, "right") - 1]
-                k = rank - own[:, 0]
+                own = r[np.searchsorted(r[:, 0], rank[at], "right") - 1]
+                k = rank[at] - own[:, 0]
                 seq[at], off[at] = own[:, 1] + k // own[:, 2], own[:, 3] + k % own[:, 2] * n
-            yield b.assign(sequence_id=seq, offset=off)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
-    return ranked.mapInPandas(place, f"{kinds}, sequence_id long, offset long").drop("rank")
+    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long").drop("rank")
 
 
 def pack_documents(docs: DataFrame, key: str, text: str, path: str, ranks: str | None = None, pattern: str | None = None, capacity: int = 1024, keep_ids: bool = False, **capacities) -> DataFrame:

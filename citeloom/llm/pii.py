@@ -114,7 +114,9 @@ def find_pii(df: DataFrame, text: str = "text", min_score: float = 0.7, spans: s
         "group": F.filter(found["group"], lambda x: luhn(x["value"])),
         "iban": F.filter(found["iban"], lambda x: mod97(x["value"])),
     }
-    names = {k: f"_pii_{k}" for k in kept}
+    names = {k: f"_{spans}_{k}" for k in kept}
+    while set(names.values()) & set(df.columns):
+        names = {k: f"_{n}" for k, n in names.items()}
     staged = df.withColumns({names[k]: c for k, c in kept.items()})
 
     def scored(kind: str, source: str, base: bool) -> Column:

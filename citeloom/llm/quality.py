@@ -22,6 +22,8 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,12 +88,13 @@ def statistics(text: str) -> list[float]:
 def text_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     """key and stats array<double> of every row."""
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "stats": [statistics(t) for t in b["text"]]})
+            stats = pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), stats], names=["key", "stats"])
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).mapInPandas(compute, f"key {kind}, stats array<double>")
+    rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(compute, f"key {kind}, stats array<double>")
     return rows.withColumnRenamed("key", key)
 
 
@@ -184,13 +187,14 @@ def fit(train: DataFrame, key: str, label: str, max_rows: int = 200_000, ridge:
 def apply(model: Model, stats: DataFrame, key: str) -> DataFrame:
     """key and score of every row."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                yield pd.DataFrame({"key": b["key"], "score": model.score(np.stack(b["stats"].to_numpy()))})
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["key", "score"])
 
     kind = stats.schema[key].dataType.simpleString()
-    return stats.select(F.col(key).alias("key"), "stats").mapInPandas(score, f"key {kind}, score double").withColumnRenamed("key", key)
+    return stats.select(F.col(key).alias("key"), "stats").mapInArrow(score, f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def held_out(key: Column, folds: int = 5) -> Column:
@@ -198,9 +202,27 @@ def held_out(key: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % folds == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """key, held_out, score of every document, learned from the labels of those that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[Model, DataFrame]:
+    """A model learned from the labels that are not held out, and the statistics of all documents."""
     stats = write_shared(text_statistics(docs, key, text), "stats")
     known = labels.filter(~held_out(F.col(key))).select(key, F.col(label).alias("_label"))
-    model = fit(stats.join(known, key), key, "_label")
+    return fit(stats.join(known, key), key, "_label"), stats
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """key, held_out, score of every document, learned from the labels of those that are not held out."""
+    model, stats = learn(docs, labels, key, text, label)
     return apply(model, stats, key).select(key, held_out(F.col(key)).alias("held_out"), "score")
+
+
+def keep_good(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows, as they are, whose text scores at least so much; no shuffle."""
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([statistics(t or "") for t in b.column(at).to_pylist()])
+                yield b.filter(pc.greater_equal(pa.array(model.score(x)), least))
+
+    return docs.mapInArrow(keep, docs.schema)

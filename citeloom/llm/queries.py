@@ -83,23 +83,22 @@ def mix_targets(patterns: list) -> dict:
 
 
 def mixed(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """doc_id, size, pattern, taken of all documents; by source, its size and target."""
+    """All rows of documents with mix_size and mix_taken; by source, its size and target."""
     targets: dict = {}
 
     def quota(patterns: list) -> dict:
         targets.update(mix_targets(patterns))
         return {s: round(t) for s, (_, t) in targets.items()}
 
-    sized = docs.select("doc_id", mixing.words(F.col("text")).alias("size"), F.array("source").alias("sources"))
-    return mixing.mix(sized, "doc_id", "size", "sources", quota, MIX_REPEATS), targets
+    how = {"key": "doc_id", "size": mixing.words(F.col("text")), "sources": F.array("source")}
+    return mixing.take(docs, mixing.plan_mix(docs, quota=quota, max_repeats=MIX_REPEATS, **how), **how), targets
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken, targets = mixed(table(spark, sf_dir, "documents"))
-    sources = spark.createDataFrame([(s, n, float(t)) for s, (n, t) in targets.items()], "source string, source_size long, target double")
-    source = F.element_at("pattern", 1)
-    out = taken.join(F.broadcast(sources), source.eqNullSafe(sources["source"]))  # bound: the mix's max_patterns
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    taken, targets = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sources = spark.createDataFrame([(s, n, float(t)) for s, (n, t) in targets.items()], "name string, source_size long, target double")
+    out = taken.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))  # bound: the mix's max_patterns
+    return out.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", F.col("mix_taken").alias("taken"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

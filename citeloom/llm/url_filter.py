@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,14 +125,14 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule], key: str, url: str = "url"
     verdicts = np.array(["allow" if r.allow else "block" for r in rules] + [default], object)
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            canonical = [f".{h}{p}".encode() for h, p in zip(b["host"], b["path"], strict=True)]
+            canonical = [f".{h}{p}".encode() for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             hit = automaton.match(canonical)
-            best = np.full(len(b), len(rules))
+            best = np.full(len(canonical), len(rules))
             for i in reversed(order):
                 best[hit[:, i]] = i
-            yield pd.DataFrame({"key": b["key"], "host": b["host"], "path": b["path"], "rule": names[best], "verdict": verdicts[best]})
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names[best], pa.string()), pa.array(verdicts[best], pa.string())], names=schema.names)
 
     host, path = url_parts(F.col(url))
-    return df.select(F.col(key).alias("key"), host.alias("host"), path.alias("path")).mapInPandas(judge, schema).withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), host.alias("host"), path.alias("path")).mapInArrow(judge, schema).withColumnRenamed("key", key)
