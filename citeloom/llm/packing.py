@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,7 @@ class Tokenizer:
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer as Full
-
-        self.full = Full.from_file(path)
-        self.fast = None
+        self.path, self.fast = path, None
         if ranks:
             import tiktoken
 
@@ -55,12 +53,24 @@ class Tokenizer:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def full(self):
+        from tokenizers import Tokenizer as Full
+
+        return Full.from_file(self.path)
+
     def encode(self, text: str) -> list[int]:
         if self.fast is None or SPECIAL in text:
             return self.full.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str, ranks: str | None, pattern: str | None) -> Tokenizer:
+    """One for each worker process, not for each task."""
+    return Tokenizer(path, ranks, pattern)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """start and length of the pieces of n tokens; only the first may be shorter than the capacity."""
     first = n % capacity or capacity
@@ -69,16 +79,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenize(df: DataFrame, key: str, text: str, path: str, ranks: str | None = None, pattern: str | None = None, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
     """key, piece, start, length, ids_crc32 [, ids], and part and place: the piece's rank among those of its length in its partition."""
-    loaded: list[Tokenizer] = []
-
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not loaded:
-            loaded.append(Tokenizer(path, ranks, pattern))
+        encode = tokenizer(path, ranks, pattern).encode
         part, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
             rows = []
             for k, t in enumerate(b.column(1).to_pylist()):
-                ids = np.array([*loaded[0].encode(t), END], "<u4")
+                ids = np.array([*encode(t), END], "<u4")
                 for i, (at, n) in enumerate(cut(len(ids), capacity)):
                     own = ids[at : at + n].tobytes()
                     rows.append((k, i, at, n, zlib.crc32(own), part, seen[n], own if keep_ids else None))
