@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.operators.tables import written
+from citeloom.operators.tables import discard, written
 
 ROUNDS = 60
 
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a")
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (seen["n"], seen["s"]) == mark:
             break

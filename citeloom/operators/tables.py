@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where the tables of written() lie, by the frame's identity.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """What ``spark.checkpoint.dir`` names; where unset (local runs), a folder under /tmp for this session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,8 +29,27 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """The rows of df, as read back from a table in the shared folder.
 
     This cuts the lineage: what follows survives the loss of any executor without
-    recomputing what came before.
+    recomputing what came before. Shuffle files of what came before are released.
     """
-    path = f"{shared_dir(df.sparkSession)}/citeloom/{tag}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/citeloom/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out, lambda _, k=id(out): _PATHS.pop(k, None)), path)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles nothing refers to any more: it removes their files then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more (what was made from them must have been written itself)."""
+    for t in tables:
+        _, path = _PATHS.pop(id(t))
+        spark = t.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
