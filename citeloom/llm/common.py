@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.operators.tables import discard
 from citeloom.operators.tables import written as write_shared
 
-__all__ = ["table", "text_of", "write_shared"]
+__all__ = ["discard", "table", "text_of", "write_shared"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

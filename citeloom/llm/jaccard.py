@@ -6,9 +6,10 @@ hash of the set and its size. The global order of shingles puts those that are n
 Two sets that are similar enough share a shingle among the first few of both in that order (prefix
 filter), at places that still allow the overlap (positional filter), and their sizes are close.
 
-The order is cut into fragments. Each candidate pair's overlap is counted in every fragment
+The order is cut into fragments (of hashes). Each candidate pair's overlap is counted in every fragment
 on its own, from the two segments that lie there, and the counts are summed per pair; a
-pair links when ``100 * overlap >= percent * union``. A document that many pairs need is thus spread over fragments.
+pair links when ``100 * overlap >= percent * union``. What travels to a pair are the two texts, compressed: they are a
+third of the size of their segments, which are cut from them where they are counted.
 
 Crowded prefix shingles (one with more than ``CROWD`` classes) first give neighbours by size and a
 pair with the shortest; what that leaves in different components of the same crowd is then paired in full,
@@ -25,10 +26,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import text_of, write_shared
+from citeloom.llm.common import discard, text_of, write_shared
+from citeloom.llm.hashing import BASE, Prefixes, mixed
 from citeloom.operators.components import connected_components
 
 CROWD = 16
@@ -39,30 +42,9 @@ OFFER = 4
 FRAGMENTS = 4
 CHUNK = 1 << 21
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACES = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Finalizer of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK + (CHUNK >> 1))
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +52,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gap = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
-    return begin, _mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    return begin, Prefixes(data).ranges(begin, end)
 
 
 def shingle_sets(texts: Sequence[str], n: int = 5) -> Iterator[np.ndarray]:
@@ -93,7 +72,7 @@ def shingle_sets(texts: Sequence[str], n: int = 5) -> Iterator[np.ndarray]:
         grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
         for k in range(n):
             grams += words[k : k + len(grams)] * _PLACES[k % len(_PLACES)] * np.uint64(2 * (k // len(_PLACES)) + 1)
-        grams = _mixed(grams)
+        grams = mixed(grams)
         first = 0
         for last in upto.tolist():
             count = last - first
@@ -102,8 +81,8 @@ def shingle_sets(texts: Sequence[str], n: int = 5) -> Iterator[np.ndarray]:
             elif count:
                 few = np.uint64(count)
                 for k in range(count):
-                    few = few * _BASE + words[first + k]
-                yield _mixed(np.array([few], np.uint64))
+                    few = few * BASE + words[first + k]
+                yield mixed(np.array([few], np.uint64))
             else:
                 yield np.zeros(0, np.uint64)
             first = last
@@ -112,7 +91,7 @@ def shingle_sets(texts: Sequence[str], n: int = 5) -> Iterator[np.ndarray]:
 
 def set_hash(s: np.ndarray) -> int:
     with np.errstate(over="ignore"):
-        return int((_mixed(s * _PLACES[0]).sum(dtype=np.uint64) ^ _mixed(np.array([len(s)], np.uint64))[0]).astype(np.uint64).view(np.int64)) if len(s) else 0
+        return int((mixed(s * _PLACES[0]).sum(dtype=np.uint64) ^ mixed(np.array([len(s)], np.uint64))[0]).astype(np.uint64).view(np.int64)) if len(s) else 0
 
 
 def least_overlap(na, nb, percent: int):
@@ -279,40 +258,45 @@ def cross(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(find, MET)
 
 
-def segments(df: DataFrame, text: str, n: int) -> DataFrame:
-    """s, fragment, part: the segment of every set in each fragment of the order of hashes."""
+def packed_texts(df: DataFrame) -> DataFrame:
+    """key, packed: the texts, compressed. df: key, text."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _quiet()
-        bounds = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            ss, fs, parts = [], [], []
-            for s in shingle_sets(b.column(0).to_pylist(), n):
-                own = set_hash(s)
-                for f, part in enumerate(np.split(s, np.searchsorted(s, bounds))):
-                    if len(part):
-                        ss.append(own)
-                        fs.append(f)
-                        parts.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ss, pa.int64()), pa.array(fs, pa.int32()), pa.array(parts, pa.binary())], names=["s", "fragment", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packer.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], names=["_key", "packed"])
 
-    return df.select(text_of(F.col(text)).alias("text")).mapInArrow(cut, "s long, fragment int, part binary")
+    return df.mapInArrow(pack, "_key long, packed binary")
 
 
-def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link: overlaps are counted in each fragment on its own and summed per pair."""
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs that link: overlaps are counted in each fragment on its own and summed per pair. texts: s, packed."""
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p, q = (b.column(i).to_pylist() for i in (5, 6))
-            count = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(p, q, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(count, pa.int64())], names=["a", "b", "na", "nb", "fragment", "common"])
+        _quiet()
+        unpack = zstandard.ZstdDecompressor()
+        bounds = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
+
+        def segments(packed: list[bytes]) -> list[list[np.ndarray]]:
+            texts = [unpack.decompress(p).decode("utf-8", "surrogatepass") for p in packed]
+            return [np.split(s, np.searchsorted(s, bounds)) for s in shingle_sets(texts, n)]
 
-    one = parts.select(F.col("s").alias("a"), "fragment", F.col("part").alias("p"))
-    two = parts.select(F.col("s").alias("b"), "fragment", F.col("part").alias("q"))
-    met = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", "p", "q")
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                firsts = part.column(4).dictionary_encode()  # a class that many pairs have is cut once
+                one, two = segments(firsts.dictionary.to_pylist()), segments(part.column(5).to_pylist())
+                own = firsts.indices.to_pylist()
+                count = [len(np.intersect1d(one[i][f], two[k][f], assume_unique=True)) for k, i in enumerate(own) for f in range(FRAGMENTS)]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), FRAGMENTS))
+                fragment = pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), part.num_rows))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(rows) for i in range(4)), fragment, pa.array(count, pa.int64())], names=["a", "b", "na", "nb", "fragment", "common"])
+
+    one = texts.select(F.col("s").alias("a"), F.col("packed").alias("p"))
+    two = texts.select(F.col("s").alias("b"), F.col("packed").alias("q"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "p", "q")
     counts = met.mapInArrow(overlap, "a long, b long, na long, nb long, fragment int, common long")
-    # A class read from two equal rows has each segment twice: they count once.
+    # A class read from two equal rows counts once.
     counts = counts.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common")).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return counts.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
@@ -328,22 +312,23 @@ def join(df: DataFrame, key: str, text: str, n: int = 5, percent: int = 80) -> D
     met = write_shared(meet(_sorted(prefixes(df, text, n, percent, frequent)), percent), "met")
     pairs = write_shared(met.filter("kind = 0").drop("kind").distinct(), "pairs")
     crowd = met.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("s"), F.col("na").alias("size"), F.col("nb").alias("place"))
-    # Only texts of classes that have a candidate are read again for their segments.
+    # Only texts of classes that have a candidate are kept for counting.
     needed = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).unionByName(crowd.select("s")).distinct()
-    keys = needed.join(classes, "s").select(F.col("first").alias("_key")).distinct()
-    texts = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(keys, "_key", "left_semi")
-    parts = write_shared(segments(texts, "text", n), "segments", codec="none")
+    keys = needed.join(classes, "s").select("s", F.col("first").alias("_key"))
+    packed = packed_texts(df.select(F.col(key).cast("long").alias("_key"), text_of(F.col(text)).alias("text")).filter(F.col("_key").isNotNull()))
+    texts = write_shared(packed.join(keys, "_key").select("s", "packed"), "texts", codec="none")
 
-    links = write_shared(verified(pairs, parts, percent), "links")
+    links = write_shared(verified(pairs, texts, n, percent), "links")
     found = write_shared(connected_components(links), "components")
     placed = crowd.join(found, crowd["s"] == found["id"], "left").select("h", "s", "size", "place", F.coalesce("component", "s").alias("component"))
     split = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
     rest = cross(_sorted(placed.join(split, "h", "left_semi")), percent).drop("kind").distinct()
     rest = write_shared(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        more = verified(rest, parts, percent)
+        more = verified(rest, texts, n, percent)
         edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
         found = write_shared(connected_components(edges), "components")
+    discard(texts, pairs, met)
 
     of_class = classes.join(found, classes["s"] == found["id"], "left").select(classes["s"], "size", "first", F.coalesce("component", classes["s"]).alias("c"))
     least = of_class.groupBy("c").agg(F.min("first").alias("component_id"))
