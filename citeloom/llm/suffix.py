@@ -26,12 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import text_of, write_shared
+from citeloom.llm.common import discard, text_of, write_shared
 from citeloom.llm.hashing import Prefixes
 
 #: Bytes of an anchor's token.
@@ -247,7 +248,9 @@ def mark_repeats(rows: DataFrame, size: int, per_row: int) -> tuple[DataFrame, d
         n = len(order)
         tail = np.arange(n) == n - 1
         t = t.append_column("part", pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))).append_column("head", pa.array(head)).append_column("tail", pa.array(tail)).append_column("again", pa.array(again))
-        yield from t.to_batches(max_chunksize=1 << 15)
+        # What repeats its predecessor needs its bytes no more, but at the ends of the bucket.
+        bytes_of = pc.if_else(pa.array(again & ~head & ~tail), pa.scalar(None, pa.binary()), _flat(t.column("suffix")))
+        yield from t.set_column(t.schema.get_field_index("suffix"), "suffix", bytes_of).to_batches(max_chunksize=1 << 15)
 
     # Splitters are sampled by Spark; document and position part what is equal.
     dealt = rows.repartitionByRange(parts, "suffix", "doc", "first")
@@ -389,24 +392,29 @@ def dedup(df: DataFrame, key: str, text: str, length: int = 100) -> DataFrame:
     docs = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), t.alias("text"))
     narrow = write_shared(df.select(F.col(key), F.octet_length(t).cast("long").alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("sha")), "digests")
 
-    kept = repeated(token_rows(docs, length)).groupBy("doc").agg(F.collect_set("anchor").alias("kept"))
+    kept = write_shared(repeated(token_rows(docs, length)).groupBy("doc").agg(F.collect_set("anchor").alias("kept")), "anchors")
     first = narrow.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     narrow = write_shared(narrow.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("first") < F.col(key), F.lit(False))).drop("first"), "copies")
     copies = narrow.filter("copy").select(F.col(key).cast("long").alias("doc"))
     texts = packed_texts(docs).dropDuplicates(["doc"])
     suspects = write_shared(texts.join(kept.join(copies, "doc", "left_anti"), "doc"), "suspects", codec="none")
+    discard(kept)
 
-    cut = records(suspects, length)
-    out, over = mark_repeats(*_counted(cut), length * 2)
+    cut = write_shared(records(suspects, length), "records")
+    out, over = mark_repeats(cut, cut.count(), length * 2)
+    discard(cut)
     marked = _resolved(out, over)
     firsts = marked.filter(~F.col("again"))
-    crowds = firsts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("h")
-    intervals = marked.filter("again").select("doc", "first", "last").unionByName(compared(firsts.join(crowds, "h", "left_anti"), length))
-    crowded = single_strings(firsts.join(crowds, "h", "left_semi"), length)
-    some, n = _counted(crowded)
-    if n:
-        out, over = mark_repeats(some, n, length + 40)
-        intervals = intervals.unionByName(_resolved(out, over).filter("again").select("doc", "first", "last"))
+    crowds = write_shared(firsts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("h"), "crowds")
+    some = not crowds.isEmpty()
+    intervals = marked.filter("again").select("doc", "first", "last").unionByName(compared(firsts.join(crowds, "h", "left_anti") if some else firsts, length))
+    intervals = write_shared(intervals, "intervals")
+    if some:
+        crowded = write_shared(single_strings(firsts.join(crowds, "h", "left_semi"), length), "strings")
+        single, over = mark_repeats(crowded, crowded.count(), length + 40)
+        intervals = write_shared(intervals.unionByName(_resolved(single, over).filter("again").select("doc", "first", "last")), "intervals")
+        discard(crowded, single)
+    discard(out)
     lost = removed(suspects, intervals, length)
 
     keep = F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha"))))
@@ -421,8 +429,3 @@ def dedup(df: DataFrame, key: str, text: str, length: int = 100) -> DataFrame:
         F.when(F.col("copy"), every).otherwise(F.coalesce("spans", none)).alias("spans"),
     )
 
-
-def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows as a written table, and their number: the partitions they need follow from it."""
-    out = write_shared(rows, "records")
-    return out, out.count()
