@@ -11,9 +11,9 @@ on its own, from the two segments that lie there, and the counts are summed per
 pair links when ``100 * overlap >= percent * union``. What travels to a pair are the two texts, compressed: they are a
 third of the size of their segments, which are cut from them where they are counted.
 
-Crowded prefix shingles (one with more than ``CROWD`` classes) first give neighbours by size and a
-pair with the shortest; what that leaves in different components of the same crowd is then paired in full,
-so that no link is lost, while a crowd of near copies costs about one pair each.
+Crowded prefix shingles (with more than ``CROWD`` classes) first pair every class with the two that
+have least of their own in front of the shingle: in a crowd of near copies, those are nearest to what was copied.
+What that leaves in different components of the same crowd is then paired in full, so that no link is lost.
 
 Defined results: null and empty texts have no set and link with nothing; fewer words than a
 shingle's make one shingle of all; repeated rows are one class.
@@ -34,7 +34,7 @@ from citeloom.llm.common import discard, text_of, write_shared
 from citeloom.llm.hashing import BASE, Prefixes, mixed
 from citeloom.operators.components import connected_components
 
-CROWD = 16
+CROWD = 8
 #: At most so many frequent shingles are told apart; they are sent to all tasks (8 bytes each).
 FREQUENT = 1 << 17
 #: A shingle is offered as frequent by a batch that has it in so many documents.
@@ -199,7 +199,7 @@ def _emit(x: dict[str, np.ndarray], i: list, j: list) -> Iterator[pa.RecordBatch
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("h").sortWithinPartitions("h", "size", "s")
+    return rows.repartition("h").sortWithinPartitions("h", "place", "size", "s")
 
 
 def meet(rows: DataFrame, percent: int) -> DataFrame:
@@ -220,9 +220,9 @@ def meet(rows: DataFrame, percent: int) -> DataFrame:
                 if size <= CROWD:
                     i, j = np.triu_indices(size, 1)
                     got = _pairs(x, (at[:, None] + i).ravel(), (at[:, None] + j).ravel(), percent, True)
-                else:
+                else:  # with the two that have least of their own before the shingle they share
                     k = np.arange(1, size)
-                    i = np.concatenate([(at[:, None] + k - 1).ravel(), np.repeat(at, size - 1)])
+                    i = np.concatenate([np.repeat(at, size - 1), np.repeat(at + 1, size - 1)])
                     got = _pairs(x, i, np.tile((at[:, None] + k).ravel(), 2), percent, False)
                 left.append(got[0])
                 right.append(got[1])
@@ -242,11 +242,8 @@ def cross(rows: DataFrame, percent: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate(([True], x["h"][1:] != x["h"][:-1])))
             left, right, held = [], [], 0
             for lo, hi in zip(starts, [*starts[1:], len(x["h"])], strict=True):
-                for i in range(lo, hi):
-                    # sizes ascend: partners end where they are too large
-                    far = lo + int(np.searchsorted(x["size"][lo:hi], x["size"][i] * 100 // percent, "right"))
-                    j = np.arange(i + 1, max(i + 1, far))
-                    j = j[x["component"][j] != x["component"][i]]
+                for i in range(lo, hi - 1):
+                    j = i + 1 + np.flatnonzero(x["component"][i + 1 : hi] != x["component"][i])
                     got = _pairs(x, np.full(len(j), i), j, percent, True)
                     left.append(got[0])
                     right.append(got[1])
