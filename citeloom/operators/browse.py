@@ -35,7 +35,7 @@ def by_container(works: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def by_family(works: DataFrame, family: str) -> DataFrame:
-    own = csl.parse_author(F.try_element_at("author", F.lit(1)))["family"]
+    own = csl.parse_author(F.get("author", F.lit(0)))["family"]
     return envelope(views.live(works).filter(own == family), F.col("issued.year"))
 
 

@@ -91,7 +91,7 @@ def ris_library() -> Column:
         _line("TI", F.col("title")),
         _lines("AU", csl.spoken_names(F.col("author"))),
         _line("JO", F.col("container_title")),
-        _line("SN", F.try_element_at("ISSN", F.lit(1))),
+        _line("SN", F.get("ISSN", F.lit(0))),
         _line("VL", F.col("volume")),
         _line("IS", F.col("issue")),
         _line("SP", start),
@@ -172,7 +172,7 @@ def tsv() -> Column:
     cells = {
         "guid": F.col("_id"), "type": F.col("type"), "title": F.trim("title"), "authors": F.array_join(csl.spoken_names(F.col("author")), ";"),
         "container-title": F.trim("container_title"), "series": F.trim("collection_title"), "volume": F.trim("volume"), "issue": F.trim("issue"),
-        "spage": start, "epage": end, "date": F.col("issued.year"), "url": F.try_element_at("URL", F.lit(1)), "doi": F.col("DOI"),
+        "spage": start, "epage": end, "date": F.col("issued.year"), "url": F.get("URL", F.lit(0)), "doi": F.col("DOI"),
     }
     return F.concat_ws("\t", *(F.coalesce(cells[c].cast("string"), F.lit("")) if c in cells else F.lit("") for c in TSV_COLUMNS))
 

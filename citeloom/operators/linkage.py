@@ -48,43 +48,43 @@ def _bits(same: Column, known: Column) -> Column:
     return F.when(~F.coalesce(known, F.lit(False)), F.array(F.lit(0), F.lit(0))).otherwise(F.array(same.cast("int"), (~same).cast("int")))
 
 
-def exact(a: Column, b: Column) -> Column:
-    return _bits(text.normalise_title(a) == text.normalise_title(b), a.isNotNull() & b.isNotNull())
+def exact(x: Column, y: Column) -> Column:
+    """Equality of normalised values; two that both normalise to nothing are the same."""
+    return _bits(x == y, x.isNotNull() & y.isNotNull())
 
 
-def aligned(a: Column, b: Column) -> Column:
-    """Local alignment above the threshold; an empty side is missing, equal sides need no alignment."""
-    x, y = text.normalise_title(a), text.normalise_title(b)
+def aligned(x: Column, y: Column) -> Column:
+    """Local alignment of normalised values above the threshold; an empty side is missing, equal sides need no alignment."""
     score = F.when(x == y, F.lit(1.0)).otherwise(similarity.alignment(x, y))
     return _bits(score > THRESHOLD, (F.length(x) > 0) & (F.length(y) > 0))
 
 
-def aligned_exactly(a: Column, b: Column) -> Column:
+def aligned_exactly(x: Column, y: Column) -> Column:
     """For inputs whose titles are equal or unlike: equality in place of alignment."""
-    x, y = text.normalise_title(a), text.normalise_title(b)
     return _bits(x == y, (F.length(x) > 0) & (F.length(y) > 0))
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    x, y = text.shorten(text.normalise_title(a)), text.shorten(text.normalise_title(b))
-    return _bits(similarity.levenshtein_similarity(x, y) > 0.9, a.isNotNull() & b.isNotNull() & (F.greatest(F.length(x), F.length(y)) > 0))
+def edit_distance(x: Column, y: Column) -> Column:
+    """Levenshtein similarity of normalised values, cut to a bounded length, above 0.9."""
+    return _bits(similarity.levenshtein_similarity(text.shorten(x), text.shorten(y)) > 0.9, x.isNotNull() & y.isNotNull() & (F.greatest(F.length(x), F.length(y)) > 0))
+
+
+def comparable(works: DataFrame) -> DataFrame:
+    """_id and what records are compared by, normalised once for each record (not for each pair)."""
+    norm = {c: text.normalise_title(F.col(c)).alias(c) for c in ("title", "container_title", "volume", "issue", "page", "DOI")}
+    family = F.get("author", F.lit(0))["family"].alias("family")
+    return works.select("_id", family, *norm.values(), *(F.col("issued")[p].alias(p) for p in ("year", "month", "day")))
 
 
 def feature_vector(a: str = "l", b: str = "r", date_precision: int = 0, subsequence=aligned) -> Column:
     """Author, title, container, volume, issue, page, the first parts of the date, DOI; [same, diff] each.
 
-    a, b: names of the two struct columns. date_precision 0 leaves dates out.
+    a, b: names of two struct columns of comparable(). date_precision 0 leaves dates out.
     """
-    f = lambda x, n: F.col(f"{x}.{n}")
-    family = [F.try_element_at(f(x, "author"), F.lit(1))["family"] for x in (a, b)]
-    parts = [_bits(family[0] == family[1], family[0].isNotNull() & family[1].isNotNull())]
-    parts += [subsequence(f(a, n), f(b, n)) for n in ("title", "container_title")]
-    parts += [exact(f(a, n), f(b, n)) for n in ("volume", "issue", "page")]
-    for n in ("year", "month", "day")[:date_precision]:
-        x, y = f(a, "issued")[n], f(b, "issued")[n]
-        parts.append(_bits(x == y, x.isNotNull() & y.isNotNull()))
-    parts.append(exact(f(a, "DOI"), f(b, "DOI")))
-    return F.concat(*parts)
+    f = lambda n: (F.col(f"{a}.{n}"), F.col(f"{b}.{n}"))
+    parts = [exact(*f("family")), *(subsequence(*f(n)) for n in ("title", "container_title")), *(exact(*f(n)) for n in ("volume", "issue", "page"))]
+    parts += [exact(*f(n)) for n in ("year", "month", "day")[:date_precision]]
+    return F.concat(*parts, exact(*f("DOI")))
 
 
 def decision(vector: Column) -> tuple[Column, Column, Column]:
@@ -94,13 +94,11 @@ def decision(vector: Column) -> tuple[Column, Column, Column]:
     return same, diff, (same >= 3) & (diff == 0)
 
 
-COMPARED = ["_id", "author", "title", "container_title", "volume", "issue", "page", "issued", "DOI"]
-
-
 def compare(pairs: DataFrame, works: DataFrame, date_precision: int = 0, subsequence=aligned) -> DataFrame:
     """a, b, features, score, diff, match of every pair."""
-    side = works.select(*COMPARED)
-    both = pairs.join(side.select(F.col("_id").alias("a"), F.struct(*COMPARED[1:]).alias("l")), "a").join(side.select(F.col("_id").alias("b"), F.struct(*COMPARED[1:]).alias("r")), "b")
+    side = comparable(works)
+    fields = F.struct(*[c for c in side.columns if c != "_id"])
+    both = pairs.join(side.select(F.col("_id").alias("a"), fields.alias("l")), "a").join(side.select(F.col("_id").alias("b"), fields.alias("r")), "b")
     vectors = both.withColumn("features", feature_vector("l", "r", date_precision, subsequence)).drop("l", "r")
     same, diff, match = decision(F.col("features"))
     return vectors.select(*pairs.columns, "features", same.alias("score"), diff.alias("diff"), match.alias("match"))

@@ -22,7 +22,7 @@ def _year() -> Column:
 
 
 def _family() -> Column:
-    return csl.parse_author(F.try_element_at("author", F.lit(1)))["family"]
+    return csl.parse_author(F.get("author", F.lit(0)))["family"]
 
 
 def count_by(df: DataFrame, **keys: Column) -> DataFrame:
@@ -94,7 +94,7 @@ def short_titles(works: DataFrame) -> DataFrame:
 
 
 def family_given(works: DataFrame) -> DataFrame:
-    a = csl.parse_author(F.try_element_at("author", F.lit(1)))
+    a = csl.parse_author(F.get("author", F.lit(0)))
     return count_by(live(works), family=a["family"], given=a["given"])
 
 

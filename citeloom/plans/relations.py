@@ -30,7 +30,7 @@ def works_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = F.concat(F.lit("urn:o:"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
     block = Window.partitionBy(F.year("o_orderdate"), F.month("o_orderdate"), "o_custkey")
     last = F.col("o_custkey") + F.col("o_orderkey") % 20
-    author = F.array(F.struct(F.col("c_name").alias("family"), F.col("c_mktsegment").alias("given"), _null("string").alias("literal")))
+    author = F.array(F.struct(F.col("c_name").alias("family"), F.col("c_mktsegment").alias("given"), F.when(F.col("c_name") == "", F.col("c_name")).alias("literal")))
     return o.select(
         *_work(
             _id=ident,

@@ -77,7 +77,7 @@ def works(docs: DataFrame, source: str, form: str, now: str, doc: str = "doc") -
         _structs('$["is-referenced-by"]', CITER, doc).alias("is_referenced_by"),
         _structs("$.reference", REFERENCE, doc).alias("reference"),
         s("abstract").alias("abstract"),
-        F.try_element_at(pdf, F.lit(1))["URL"].alias("pdf"),
+        F.get(pdf, F.lit(0))["URL"].alias("pdf"),
         F.lit("work").alias("kind"),
         F.lit(source).alias("source"),
         F.lit(form).alias("format"),

@@ -236,5 +236,5 @@ def text_references(spark: SparkSession, path: str, citing: str | None = None) -
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """id, raw, issn of a TSV without header: name, ISSN (may be missing); blank lines are skipped."""
     cells = F.split("value", "\t", -1)
-    rows = spark.read.text(path).filter(F.trim("value") != "").select(F.trim(cells[0]).alias("raw"), F.nullif(F.trim(F.try_element_at(cells, F.lit(2))), F.lit("")).alias("issn"))
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(F.trim(cells[0]).alias("raw"), F.nullif(F.trim(F.get(cells, F.lit(1))), F.lit("")).alias("issn"))
     return rows.filter("raw <> ''").select(F.monotonically_increasing_id().alias("id"), "raw", "issn")
