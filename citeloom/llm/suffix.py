@@ -90,45 +90,63 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def token_rows(docs: DataFrame, length: int) -> DataFrame:
-    """h, doc, anchor of every record. docs: doc, text."""
+    """place, state, h, doc, anchor of every record. docs: doc, text.
+
+    A token that one batch has several times is known to repeat: its rows (state 2) go anywhere, and one more row (state 1) stands
+    for them where the token's rows meet. So a token that a third of all documents hold sends a few rows for each batch there.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _quiet()
         for b in batches:
             ids = b.column(0).to_numpy()
+            hs, docs_, at_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for at, part in _chunks([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]):
                 text, h, anchor, _, _ = anchors(part, length)
-                if len(text):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[at + text]), pa.array(anchor.astype(np.int32))], names=["h", "doc", "anchor"])
+                hs.append(h)
+                docs_.append(ids[at + text])
+                at_.append(anchor)
+            h, doc, anchor = np.concatenate(hs).view(np.int64), np.concatenate(docs_), np.concatenate(at_)
+            if not len(h):
+                continue
+            token, back, count = np.unique(h, return_inverse=True, return_counts=True)
+            known = count[back] > 1
+            stand = token[count > 1]
+            place = np.concatenate((np.where(known, doc, h), stand))
+            none = np.zeros(len(stand), np.int64)
+            columns = (place, np.concatenate((np.where(known, 2, 0), none + 1)).astype(np.int32), np.concatenate((h, stand)), np.concatenate((doc, none)), np.concatenate((anchor, none)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=TOKENS)
+
+    return docs.mapInArrow(find, "place long, state int, h long, doc long, anchor int")
 
-    return docs.mapInArrow(find, "h long, doc long, anchor int")
+
+TOKENS = ("place", "state", "h", "doc", "anchor")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
     """doc, anchor of the rows whose token occurs again."""
 
+    def again(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, state = t.column("h").to_numpy(), t.column("state").to_numpy()
+        same = np.concatenate(([False], h[1:] == h[:-1], [False]))
+        keep = (state == 2) | ((state == 0) & (same[1:] | same[:-1]))
+        if keep.any():
+            yield from t.filter(pa.array(keep)).select(["doc", "anchor"]).combine_chunks().to_batches()
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            now = pa.table([b.column(i) for i in range(3)], names=["h", "doc", "anchor"])
+            now = pa.table(b.columns, names=TOKENS)
             if held is not None:
                 now = pa.concat_tables([held, now])
-            h = now.column(0).to_numpy()
+            h = now.column("h").to_numpy()
             last = int(np.flatnonzero(h != h[-1])[-1]) + 1 if len(h) and h[0] != h[-1] else 0
             held = now.slice(last)
-            yield from _again(now.slice(0, last))
+            yield from again(now.slice(0, last))
         if held is not None:
-            yield from _again(held)
-
-    def _again(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        h = t.column(0).to_numpy()
-        if len(h) > 1:
-            same = h[1:] == h[:-1]
-            keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            if keep.any():
-                yield from t.filter(pa.array(keep)).select(["doc", "anchor"]).combine_chunks().to_batches()
+            yield from again(held)
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(find, "doc long, anchor int")
+    return rows.repartition("place").sortWithinPartitions("h").mapInArrow(find, "doc long, anchor int")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
