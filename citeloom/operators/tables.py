@@ -25,16 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str = "zstd", free: bool = True) -> DataFrame:
     """The rows of df, as read back from a table in the shared folder.
 
     This cuts the lineage: what follows survives the loss of any executor without
-    recomputing what came before. Shuffle files of what came before are released.
+    recomputing what came before. Shuffle files of what came before are released
+    (free: not for small tables in loops).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citeloom/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    release(spark)
+    if free:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out, lambda _, k=id(out): _PATHS.pop(k, None)), path)
     return out

@@ -182,3 +182,32 @@ ORACLES: dict[str, str] = {
     "key_range": f"WITH {WO} SELECT _id, y AS year, first::varchar AS spage FROM wo WHERE container_title = 'BUILDING' AND y BETWEEN 1996 AND 1997",
     "flagship": f"WITH {WD} SELECT 'works' AS name, count(*) AS n FROM wd UNION ALL SELECT 'clusters', count(DISTINCT (doi, source, lang)) FROM wd",
 }
+
+#: The fields of works from orders as votes, in the order of their records.
+CR = WO + """, f AS (
+  SELECT cluster, _id, unnest(['author', 'title', 'container_title', 'volume', 'issue', 'page', 'year', 'day', 'type']) AS field,
+         unnest([given || ' ' || family, title, container_title, volume::varchar, issue, first || '-' || last, y::varchar, d::varchar, type]) AS v
+  FROM wo
+), o AS (SELECT *, row_number() OVER (PARTITION BY cluster, field ORDER BY _id) AS i FROM f),
+ u AS (SELECT cluster, field, v, min(i) AS k FROM o GROUP BY 1, 2, 3), g AS (SELECT cluster, field, list(v ORDER BY k) AS vals FROM u GROUP BY 1, 2),
+ b AS (SELECT o.cluster, o.field, any_value(g.vals) AS vals,
+              list(list_transform(g.vals, lambda x: (CASE WHEN x = o.v THEN 0.8::double WHEN len(g.vals) > 1 THEN (1 - 0.8::double) / (len(g.vals) - 1) ELSE 0.0::double END)) ORDER BY i) AS steps
+       FROM o JOIN g ON o.cluster = g.cluster AND o.field = g.field GROUP BY 1, 2),
+ e AS (SELECT *, list_reduce(steps, lambda acc, s: list_transform(list_zip(acc, s), lambda z: round((z[1] * z[2] / list_sum(list_transform(list_zip(acc, s), lambda w: w[1] * w[2])))::decimal(18, 10), 2)::double)) AS belief FROM b),
+ w AS (SELECT cluster, field, vals[list_position(belief, list_max(belief))] AS won, len(vals) AS n FROM e), z AS (SELECT cluster, count(*)::int AS n FROM wo GROUP BY 1)"""
+#: Titles that hold two words, with what their scores are made of.
+BM = WD + r""", t AS (SELECT _id, list_filter(string_split_regex(lower(title), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM wd), n AS (SELECT _id, w, len(w) AS l FROM t WHERE len(w) > 0),
+ s AS (SELECT count(*) AS docs, avg(l) AS mean FROM n), q AS (SELECT unnest(['the', 'of']) AS word),
+ p AS (SELECT _id, word, l, len(list_filter(w, lambda x: x = word)) AS tf FROM n, q WHERE list_contains(w, word)), d AS (SELECT word, count(*) AS df FROM p GROUP BY 1),
+ r AS (SELECT _id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / mean))) AS score, count(*) AS k FROM p JOIN d USING (word), s GROUP BY _id)"""
+
+ORACLES |= {
+    "consensus_record": f"""WITH {CR} SELECT w.cluster, any_value(z.n) AS n,
+ regexp_replace(max(won) FILTER (field = 'author'), '^(.*) ([^ ]+)$', '\\2, \\1') AS author, max(won) FILTER (field = 'title') AS title, max(won) FILTER (field = 'container_title') AS container_title,
+ max(won) FILTER (field = 'volume') AS volume, max(won) FILTER (field = 'issue') AS issue, max(won) FILTER (field = 'page') AS page, (max(won) FILTER (field = 'year'))::bigint AS year,
+ (max(won) FILTER (field = 'day'))::bigint AS day, max(won) FILTER (field = 'type') AS type, (max(w.n) FILTER (field = 'page')) > 1 AS page_warning FROM w JOIN z ON z.cluster = w.cluster GROUP BY w.cluster""",
+    "title_search_scores": f"WITH {BM} SELECT _id, round(score, 6) AS score FROM r WHERE k = 2 ORDER BY r.score DESC, _id LIMIT 20",
+    "html_titles": r"""WITH t AS (SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS t FROM pages)
+ SELECT page_id, length(t)::int AS n, regexp_replace(regexp_replace(t, '\.(\p{L})', '. \1', 'g'), '[\x0C\n\r\t ]+', ' ', 'g') AS title FROM t""",
+    "html_links": r'''SELECT page_id, len(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<a [^>]*href="[^"]'))::int AS n FROM pages''',
+}
