@@ -136,6 +136,46 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
 FROM d
+""",
+    "op2_suffix": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, unnest(list_transform(range(0, greatest(length(h) // 2 - 99, 0)), lambda i: substr(h, 2 * i + 1, 200))) AS s, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS i FROM d
+), f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w
+), m AS (
+  SELECT doc_id, i AS lo, i + 100 AS hi, CASE WHEN i <= max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS starts FROM f WHERE k > 1
+), n AS (
+  SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY lo) AS run FROM m
+), runs AS (
+  SELECT doc_id, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS rest, sum(hi - lo)::bigint AS n_removed, count(*) AS n_spans
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h)::bigint // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op8_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), u AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM u x JOIN u y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c) UNION ALL SELECT b, a FROM p WHERE 100 * c >= 80 * (na + nb - c)
+), reach AS (
+  SELECT doc_id AS f, doc_id AS t FROM documents UNION SELECT reach.f, l.b FROM reach JOIN l ON reach.t = l.a
+), least AS (
+  SELECT f, min(t) AS component_id FROM reach GROUP BY f
+)
+SELECT doc_id, len(s)::bigint AS n_shingles, component_id FROM s JOIN least ON f = doc_id
 """,
     "op7_url_filter": r"""
 WITH p AS (
