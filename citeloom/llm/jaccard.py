@@ -322,9 +322,13 @@ def join(df: DataFrame, key: str, text: str, n: int = 5, percent: int = 80) -> D
     rest = cross(_sorted(placed.join(split, "h", "left_semi")), percent).drop("kind").distinct()
     rest = write_shared(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        more = verified(rest, texts, n, percent)
+        # Few classes are left: their texts are picked out once, so that not all texts move twice more.
+        left = rest.select(F.col("a").alias("s")).unionByName(rest.select(F.col("b").alias("s"))).distinct()
+        some = write_shared(texts.join(left, "s", "left_semi"), "texts", codec="none")
+        more = verified(rest, some, n, percent)
         edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
         found = write_shared(connected_components(edges), "components")
+        discard(some)
     discard(texts, pairs, met)
 
     of_class = classes.join(found, classes["s"] == found["id"], "left").select(classes["s"], "size", "first", F.coalesce("component", classes["s"]).alias("c"))
