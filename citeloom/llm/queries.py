@@ -21,7 +21,8 @@ URL_RULES = (
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(text_of(F.col("text")), "UTF-8").alias("bytes"))
     docs = docs.select("doc_id", F.length("bytes").cast("long").alias("n_bytes"), media.padded(F.col("bytes")).alias("payload"))
-    features = media.media_features(media.store_media(docs, "payload"))
+    # As a table of its own, so that nothing but the join needs its partitioning and Spark may split a hot digest.
+    features = write_shared(media.media_features(media.store_media(docs, "payload")), "features")
     # Each document as a page: a line of text and its payload as a figure, by digest.
     html = F.format_string('<p>%s</p><figure><img src="sha256:%s" data-length="%s"><figcaption>%s</figcaption></figure>', F.lit("document"), F.sha2("payload", 256), "n_bytes", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     pages = media.parse_sequences(docs.select("doc_id", html.alias("html")), "doc_id", "html")
