@@ -1,6 +1,7 @@
 """URL filters by a bit-parallel wildcard automaton.
 
-Every rule is a glob over the canonical form of a URL: ``.`` + host + path.
+Every rule is a glob over the canonical form of a URL: ``.`` + host + ``#`` + path.
+Neither host nor path can hold ``#``, so a rule's host ends where the URL's host ends.
 All globs are packed side by side into one multiword Shift-And mask, so one pass
 over the characters of a URL runs every pattern at once. The pass is vectorised
 over a block of URLs: the state is a (urls x words) matrix of 64-bit masks.
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 ONE = np.uint64(1)
 #: URLs that are advanced together; bounds the state matrix.
 BLOCK = 4096
+#: Stands between host and path; in neither of them (see url_parts).
+END = "#"
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,7 @@ class Rule:
 
     @property
     def glob(self) -> str:
-        return f"*.{escape(self.host)}{escape(self.path)}*"
+        return f"*.{escape(self.host)}{END}{escape(self.path)}*"
 
 
 def escape(text: str) -> str:
@@ -127,7 +130,7 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule], key: str, url: str = "url"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            canonical = [f".{h}{p}".encode() for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            canonical = [f".{h}{END}{p}".encode() for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             hit = automaton.match(canonical)
             best = np.full(len(canonical), len(rules))
             for i in reversed(order):

@@ -285,6 +285,18 @@ def test_url_rules(spark):
     assert got[11] == ("e.com:80", "/en/", None, "allow") and got[12][2] == "com/" and got[13][2] == "com/" and got[None][2] == "com/"
 
 
+def test_url_rules_host_in_path(spark):
+    urls = ["http://site.org/www.foo.com/x", "https://proxy.com/www.foo.net/es/a", "http://web.archive.org/web/2020/http://www.example.com/en/1", "http://foo.net/a.com/", "http://example.com/x.www.example.com/en/", "http://com.org/", "http://foo.net/es/x.com/longer/", "http://.com/"]
+    got = {r["url"]: (r["host"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string").selectExpr("url AS id", "url"), queries.URL_RULES, "id").withColumnRenamed("id", "url").collect()}
+    hosts = ["site.org", "proxy.com", "web.archive.org", "foo.net", "example.com", "com.org", "foo.net", ".com"]
+    rules = [None, "com/", None, None, "com/", None, "net/es/", "com/"]
+    verdicts = ["allow", "allow", "allow", "allow", "allow", "allow", "block", "allow"]
+    assert got == dict(zip(urls, zip(hosts, rules, verdicts, strict=True), strict=True))
+    bare = [url_filter.Rule("foo.org", "", False)]
+    df = spark.createDataFrame([(1, "http://a.foo.org"), (2, "http://foo.org.uk/"), (3, "http://x/.foo.org")], "id long, url string")
+    assert {r["id"]: r["verdict"] for r in url_filter.filter_urls(df, bare, "id").collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
 # 8 n-gram Jaccard
 
 
