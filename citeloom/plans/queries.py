@@ -246,7 +246,7 @@ over(_by_key, containers.cluster_stats, "cluster_stats")
 over(_by_key, containers.largest, "largest_clusters")
 over(_by_key, containers.issn_purity, "issn_purity")
 over(_by_key, lambda n: containers.journal_quality(n, n.select("id", F.col("issn").alias("journal"))), "over_merge")
-over(_by_key, lambda n: containers.journals(n.filter("id % 50 < 3")), "journal_groups")
+over(_by_key, containers.journals, "journal_groups")
 over(_by_key, lambda n: containers.spellings(n).drop("key_a"), "cluster_spellings")
 
 
@@ -257,6 +257,7 @@ def container_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _curated(names: DataFrame) -> DataFrame:
+    """Spellings that curated containers own: by nature few of all."""
     return names.filter("id % 97 = 0").select(F.col("raw").alias("variant"))
 
 
@@ -273,8 +274,9 @@ def review_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def variant_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling's container."""
     names = _by_key(spark, sf_dir)
-    return containers.resolve(_curated(names).distinct(), containers.container_docs(names, "20240101"))
+    return containers.resolve(names.select(F.col("raw").alias("variant")).distinct(), containers.container_docs(names, "20240101"))
 
 
 @query
