@@ -197,9 +197,9 @@ def series_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tokens_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised first characters of documents in plain ASCII."""
-    d = table(spark, sf_dir, "documents").withColumn("t", F.substring("text", 1, 200)).filter(F.col("t").rlike(r"^[\x00-\x7F]+$") & ~F.col("t").rlike("[<>&]"))
-    return d.select("doc_id", text.normalise_title(F.col("t")).alias("title"), F.array_join(text.words(text.drop_stops(text.normalise_title(F.col("t")))), " ").alias("tokens"))
+    """Normalised texts of documents, and their words without stop words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.normalise_title(F.col("text")).alias("title"))
+    return d.select("doc_id", "title", F.array_join(text.words(text.drop_stops(F.col("title"))), " ").alias("tokens"))
 
 
 @query
@@ -364,7 +364,7 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of documents without tags and entities, dots and spaces tidied."""
-    d = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[<>&]"))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(text.clean_title(F.col("text"))).alias("digest"))
 
 

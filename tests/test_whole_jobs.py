@@ -1,5 +1,10 @@
 """Registered queries over whole tables: no rows left out, results as by brute force."""
 
+import hashlib
+import html
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +49,42 @@ def test_variant_resolution(spark, parts_dir):
     got = [(r["variant"], r["name"]) for r in QUERIES["variant_resolution"](spark, parts_dir).collect()]
     docs = QUERIES["container_docs"](spark, parts_dir).select("name", F.explode(F.split("variants", r"\|")).alias("variant")).collect()
     assert sorted(got) == sorted((r["variant"], r["name"]) for r in docs) and {v for v, _ in got} == {f"{name} {kind}" for _, name, kind, _ in PARTS}
+
+
+TEXTS = [
+    "The history of the <b>Museum</b> &amp; Gardens.A new &lt;part&gt;", "Étude sur les araignées de l'Œuvre.Été  \u00a0 1997", "  plain words of the land \n and sea  ", "x" * 190 + " the end of Zoölogy <i>and</i> more than two hundred &quot;signs&quot;",
+    "a &amp;lt; b", "<p>only a tag</p>", "a < b and c > d", "", None, "Straße der Bücher \u2013 Þing.\u00c9", "&#39;quoted&apos; &nbsp; &ndash;&mdash;", "word " * 900 + "last.Word",
+]
+SPACE = "[\\x0c\\n\\r\\t\u00a0 \u1680\u180e\u2028\u2029\u2000-\u200a\u202f\u205f\u3000]+"
+
+
+@pytest.fixture(scope="module")
+def texts_dir(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("texts"))
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(2).write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def brute_clean(t):
+    t = html.unescape(re.sub("<[^>]*>", "", t).replace("&nbsp;", " "))
+    return re.sub(SPACE, " ", re.sub(r"\.(.)", lambda m: ". " + m[1] if m[1].isalpha() else m[0], t))
+
+
+def brute_normal(t):
+    t = brute_clean(t)
+    for old, new in {"Œ": "OE", "œ": "oe", "Æ": "AE", "æ": "ae", "ß": "sz", "Þ": "TH", "þ": "th"}.items():
+        t = t.replace(old, new)
+    t = "".join(c for c in unicodedata.normalize("NFD", t.strip(" ")) if c < "\x80")
+    return re.sub("[^a-zA-Z0-9 ]", "", t).lower()
+
+
+def test_clean_text(spark, texts_dir):
+    got = {r["doc_id"]: r["digest"] for r in QUERIES["clean_text"](spark, texts_dir).collect()}
+    assert got == {i: None if t is None else hashlib.md5(brute_clean(t).encode()).hexdigest() for i, t in enumerate(TEXTS)}
+
+
+def test_tokens_normalised(spark, texts_dir):
+    stops = set("and at from in of on the aus dem der das des die fur und zu zur de du et la le les del y della di van da do e v".split())
+    got = {r["doc_id"]: (r["title"], r["tokens"]) for r in QUERIES["tokens_normalised"](spark, texts_dir).collect()}
+    titles = {i: None if t is None else brute_normal(t) for i, t in enumerate(TEXTS)}
+    assert got == {i: (t, None if t is None else " ".join(w for w in t.split() if w not in stops)) for i, t in titles.items()}
