@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import csl
 from citeloom.operators import views
+from citeloom.operators.tables import written
 
 SIMPLE = ["_id", "author", "title", "container_title", "ISSN", "volume", "issue", "page", "issued", "DOI"]
 
@@ -82,15 +83,35 @@ def page_gaps(works: DataFrame) -> DataFrame:
 
 
 def export_order(works: DataFrame) -> list[Column]:
-    """Year (missing last), digits of the volume, start page."""
+    """Year (missing last), digits of the volume, start page. All ascending, null last."""
     start, _ = csl.export_pages(F.col("page"))
     volume = F.regexp_replace(F.coalesce("volume", F.lit("")), r"\D", "").try_cast("bigint")
-    return [F.coalesce("issued.year", F.lit(999999)).asc(), F.coalesce(volume, F.lit(0)).asc(), F.coalesce(csl.parse_int(start), F.lit(0)).asc(), F.col("_id").asc()]
+    return [F.coalesce("issued.year", F.lit(999999)), F.coalesce(volume, F.lit(0)), F.coalesce(csl.parse_int(start), F.lit(0)), F.col("_id")]
 
 
 def display_order() -> list[Column]:
-    """Volume by its digits, else as a roman numeral, others last; then first page, missing last."""
-    return [csl.volume_number(F.col("volume")).asc_nulls_last(), csl.page_range(F.col("page"))[0].asc_nulls_last(), F.col("_id").asc()]
+    """Volume by its digits, else as a roman numeral, others last; then first page, missing last. All ascending, null last."""
+    return [csl.volume_number(F.col("volume")), csl.page_range(F.col("page"))[0], F.col("_id")]
+
+
+def ranked(works: DataFrame, order: list[Column]) -> DataFrame:
+    """_id, place of all works in one order.
+
+    No window spans all rows: works are range-partitioned and sorted, and a work's place is its place in its partition
+    after the rows of the partitions before (a row for each partition).
+    """
+    keys = [f"_k{i}" for i in range(len(order))]
+    # the order's columns are named before they are dealt out, so that each is computed once
+    rows = works.select("_id", *(c.alias(k) for c, k in zip(order, keys, strict=True)))
+    by = [F.col(k).asc_nulls_last() for k in keys]
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its partition
+    parts = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).select("_id", F.spark_partition_id().alias("_part"), at.alias("_at")), "ranked")
+    start, before = [], 0
+    for r in parts.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row for each partition
+        start.append((r["_part"], before))
+        before += r["n"]
+    offsets = works.sparkSession.createDataFrame(start, "_part int, _start long")
+    return parts.join(F.broadcast(offsets), "_part").select("_id", (F.col("_start") + F.col("_at") + 1).cast("int").alias("place"))
 
 
 def unstructured(works: DataFrame) -> DataFrame:

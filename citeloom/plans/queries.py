@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import csl, similarity, text
@@ -313,12 +313,8 @@ over(works_o, lambda w: w.select("_id", export.tsv().alias("record")), "export_t
 over(works_o, lambda w: w.select("_id", csl.citation_string(F.col("title"), F.col("container_title"), F.col("volume"), F.col("page"), F.col("issued.year")).alias("citation")), "citation_strings")
 
 
-def _place(order: list) -> Callable[[DataFrame], DataFrame]:
-    return lambda w: w.filter("issued.year = 1997 AND issued.month < 4").select("_id", F.row_number().over(Window.partitionBy("issued.year").orderBy(*order)).alias("place"))
-
-
-over(works_o, lambda w: _place(browse.export_order(w))(w), "export_order")
-over(works_o, lambda w: _place(browse.display_order())(w), "display_sort")
+over(works_o, lambda w: browse.ranked(w, browse.export_order(w)), "export_order")
+over(works_o, lambda w: browse.ranked(w, browse.display_order()), "display_sort")
 over(works_o, lambda w: browse.page_coverage(w).select("_id", "first", "last", "lo", "hi", "articles", F.floor(F.col("left")).alias("left"), F.floor(F.col("width")).alias("width")), "page_coverage")
 over(works_o, browse.page_gaps, "page_gaps")
 over(works_o, lambda w: w.select("_id", F.array_join(csl.page_range(F.regexp_replace("page", r"-\d*(\d\d)$", "-$1")), "-").alias("pages")), "abbreviated_pages")

@@ -1,7 +1,9 @@
 """Registered queries over whole tables: no rows left out, results as by brute force."""
 
+import datetime
 import hashlib
 import html
+import random
 import re
 import unicodedata
 
@@ -88,3 +90,31 @@ def test_tokens_normalised(spark, texts_dir):
     got = {r["doc_id"]: (r["title"], r["tokens"]) for r in QUERIES["tokens_normalised"](spark, texts_dir).collect()}
     titles = {i: None if t is None else brute_normal(t) for i, t in enumerate(TEXTS)}
     assert got == {i: (t, None if t is None else " ".join(w for w in t.split() if w not in stops)) for i, t in titles.items()}
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """Orders of four years, some without a date, of 30 customers; the folder they are in and their rows."""
+    d, rng = str(tmp_path_factory.mktemp("orders")), random.Random(5)
+    rows = [(k, rng.randrange(1, 31), "FOP"[k % 3], None if k % 17 == 0 else datetime.date(1994 + rng.randrange(4), rng.randrange(1, 13), rng.randrange(1, 29)), "1-URGENT") for k in rng.sample(range(1000), 400)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date, o_orderpriority string").repartition(5).write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(c, f"C{c}", "BUILDING") for c in range(1, 31)], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{d}/customer.parquet")
+    return d, rows
+
+
+def places(rows, key):
+    return {f"urn:o:{r[0]:012d}": i for i, r in enumerate(sorted(rows, key=key), 1)}
+
+
+def test_export_order(spark, orders):
+    d, rows = orders
+    got = QUERIES["export_order"](spark, d).collect()
+    want = places(rows, lambda r: (r[3].year if r[3] else 999999, r[3].month if r[3] else 0, r[1], r[0]))
+    assert {r["_id"]: r["place"] for r in got} == want and len(got) == len(rows)
+
+
+def test_display_sort(spark, orders):
+    d, rows = orders
+    got = QUERIES["display_sort"](spark, d).collect()
+    want = places(rows, lambda r: (r[3].month if r[3] else 99, r[1], r[0]))
+    assert {r["_id"]: r["place"] for r in got} == want and len(got) == len(rows)
