@@ -29,13 +29,49 @@ def _matrix(a: str, b: str) -> np.ndarray:
     return h
 
 
+def _best(x: np.ndarray, y: np.ndarray, low: int, high: int) -> int:
+    """The best score among alignments whose places all have low <= j - i <= high; one row of those at a time."""
+    n, m = len(x), len(y)
+    padded = np.full(max(n + high, m) - low + 1, -1)
+    padded[-low : m - low] = y
+    size = high - low + 1
+    row = np.zeros(size + 1, np.int64)  # by j - i; the last stays 0: beyond the band
+    slope = -GAP * np.arange(size)
+    most = 0
+    for i in range(n):
+        step = np.where(padded[i : i + size] == x[i], MATCH, MISMATCH)
+        best = np.maximum(np.maximum(row[:-1] + step, row[1:] + GAP), 0)
+        row[:-1] = np.maximum.accumulate(best + slope) - slope
+        most = max(most, int(row.max()))
+    return most
+
+
+def best_score(a: str, b: str, band: int = 32) -> int:
+    """The score of the best local alignment, in memory that grows with the longer string.
+
+    A band around the diagonal suffices where its best is no less than what any alignment that leaves it can have: all
+    characters that such a one can still match. Else the band grows, up to all places.
+    """
+    x, y = (np.array([ord(c) for c in s.upper()]) for s in (a, b))
+    n, m = len(x), len(y)
+    while True:
+        low, high = max(min(0, m - n) - band, -n), min(max(0, m - n) + band, m)
+        found = _best(x, y, low, high)
+        above = min(n, m - high - 1) if high < m else 0
+        below = min(m, n + low - 1) if low > -n else 0
+        if found >= MATCH * max(above, below):
+            return found
+        # what the score found leaves open, at once
+        band = max(2 * band, min(n, m) - found // MATCH)
+
+
 def alignment_score(a: str | None, b: str | None) -> float | None:
     """The best local alignment's score over that of the shorter string with itself; null if a side is missing or empty."""
     if not a or not b:
         return None
     if a == b:
         return 1.0
-    return float(_matrix(a, b).max()) / (MATCH * min(len(a), len(b)))
+    return float(best_score(a, b)) / (MATCH * min(len(a), len(b)))
 
 
 @dataclass(frozen=True)

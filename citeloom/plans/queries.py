@@ -120,10 +120,9 @@ def levenshtein_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def alignment_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local alignment of the titles (first 120 characters) of documents with one digest, or alike in source, language and length."""
+    """Local alignment of whole texts of documents alike in source, language and length."""
     n = _neighbours(spark, sf_dir)
-    title = lambda c: text.normalise_title(F.substring(c, 1, 120))
-    return n.select("a", "b", F.round(similarity.alignment(title("ta"), title("tb")), 6).alias("score"))
+    return n.select("a", "b", F.round(similarity.alignment(text.normalise_title(F.col("ta")), text.normalise_title(F.col("tb"))), 6).alias("score"))
 
 
 @query

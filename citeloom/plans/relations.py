@@ -50,14 +50,14 @@ def works_o(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def works_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Works from documents: the text's digest stands for the DOI, so copies share a block."""
+    """Works from documents: the whole text is the title, its digest stands for the DOI, so copies share a block."""
     d = table(spark, sf_dir, "documents")
     ident = F.concat(F.lit("doc:"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
     return d.select(
         *_work(
             _id=ident,
             type=F.lit("article-journal"),
-            title=F.substring("text", 1, 120),
+            title=F.col("text"),
             container_title=F.col("source"),
             volume=F.col("lang"),
             page=F.col("n_chars"),

@@ -10,6 +10,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom.functions import similarity
 from citeloom.operators import containers
 from citeloom.plans.queries import QUERIES
 
@@ -118,3 +119,45 @@ def test_display_sort(spark, orders):
     got = QUERIES["display_sort"](spark, d).collect()
     want = places(rows, lambda r: (r[3].month if r[3] else 99, r[1], r[0]))
     assert {r["_id"]: r["place"] for r in got} == want and len(got) == len(rows)
+
+
+def test_best_score():
+    rng = random.Random(9)
+    for _ in range(400):
+        a = "".join(rng.choices("abc ", k=rng.randrange(1, 90)))
+        b = "".join(rng.choices("abc ", k=rng.randrange(1, 90)))
+        if rng.random() < 0.6:
+            i, j = sorted(rng.choices(range(len(a) + 1), k=2))
+            b = "".join(rng.choices("abc ", k=rng.randrange(9))) + a[:i] + a[j:] + a[i:j]
+        for band in (1, 4, 32):
+            assert similarity.best_score(a, b, band) == int(similarity._matrix(a, b).max())
+
+
+FAR = "filler " * 40
+
+
+@pytest.fixture(scope="module")
+def long_dir(spark, tmp_path_factory):
+    """Texts that differ, or have the words asked for, only after 120 characters."""
+    d = str(tmp_path_factory.mktemp("long"))
+    rows = [(1, FAR + "the end of it"), (2, FAR + "nothing here "), (3, "the start of " + FAR), (4, "the start" + FAR), (5, None)]
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def test_search_of_whole_texts(spark, long_dir):
+    want = {f"doc:{i:012d}" for i in (1, 3)}
+    for q in ("title_search", "title_search_scores", "search_clusters"):
+        assert {r["_id"] for r in QUERIES[q](spark, long_dir).collect()} == want
+
+
+def test_nonletter_leads_of_whole_texts(spark, tmp_path):
+    t = "1 " + FAR
+    spark.createDataFrame([(1, t, "en", "s", len(t))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["value"] for r in QUERIES["nonletter_leads"](spark, str(tmp_path)).collect()] == [t]
+
+
+def test_alignment_of_whole_texts(spark, long_dir):
+    got = {(r["a"], r["b"]): r["score"] for r in QUERIES["alignment_feature"](spark, long_dir).collect()}
+    one, two = (FAR + "the end of it"), (FAR + "nothing here")
+    assert got[1, 2] == round(similarity._matrix(one, two).max() / (3 * len(two)), 6) < 1
