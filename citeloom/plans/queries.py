@@ -88,7 +88,7 @@ def asserted_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _compared(spark: SparkSession, sf_dir: str, date_precision: int) -> DataFrame:
     w = works_o(spark, sf_dir)
-    return linkage.compare(linkage.block_pairs(linkage.hash_block(w)), w, date_precision, linkage.aligned_exactly)
+    return linkage.compare(linkage.block_pairs(linkage.hash_block(w)), w, date_precision)
 
 
 @query
@@ -408,6 +408,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as works: blocked by digest, compared, clustered, counted."""
     w = works_d(spark, sf_dir).drop("cluster")
     pairs = linkage.block_pairs(linkage.doi_block(w))
-    found = linkage.compare(pairs, w, 0, linkage.aligned_exactly)
+    found = linkage.compare(pairs, w)
     clusters = linkage.cluster(w, found.filter("match"))
     return views.stats(w.join(clusters, "_id"))

@@ -161,3 +161,20 @@ def test_alignment_of_whole_texts(spark, long_dir):
     got = {(r["a"], r["b"]): r["score"] for r in QUERIES["alignment_feature"](spark, long_dir).collect()}
     one, two = (FAR + "the end of it"), (FAR + "nothing here")
     assert got[1, 2] == round(similarity._matrix(one, two).max() / (3 * len(two)), 6) < 1
+
+
+def test_near_equal_titles_match(spark, tmp_path):
+    d, day = str(tmp_path), datetime.date(1997, 2, 3)
+    rows = [(1, 7, "F", day, "a rather long title of an order"), (21, 7, "F", day, "a rather long title of an ordem"), (41, 7, "F", day, "something else")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date, o_orderpriority string").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(7, "C7", "BUILDING")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{d}/customer.parquet")
+    a, b, c = (f"urn:o:{k:012d}" for k in (1, 21, 41))
+    assert {(r["a"], r["b"]): r["match"] for r in QUERIES["match_decisions"](spark, d).collect()} == {(a, b): True, (a, c): False, (b, c): False}
+    bits = {(r["a"], r["b"]): r["features"].split(",")[2:4] for r in QUERIES["feature_vectors_exact"](spark, d).collect()}
+    assert bits == {(a, b): ["1", "0"], (a, c): ["0", "1"], (b, c): ["0", "1"]}
+
+
+def test_flagship_near_equal_containers(spark, tmp_path):
+    rows = [(1, "one text", "en", "a source of texts", 8), (2, "one text", "en", "a source of text", 8), (3, "one text", "en", "elsewhere", 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["name"]: r["n"] for r in QUERIES["flagship"](spark, str(tmp_path)).collect()} == {"works": 3, "clusters": 2}
