@@ -7,7 +7,8 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
-_LEAST = 3 << 20
+#: The tables of powers that a worker keeps; longer texts make their own and let go of them.
+_KEPT = (1 << 20) + 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -19,12 +20,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        for name, base in (("up", BASE), ("down", np.uint64(pow(int(BASE), -1, 1 << 64)))):
-            steps = np.full(max(n, _LEAST), base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+    if n <= _KEPT and _POWERS:
+        return _POWERS["up"], _POWERS["down"]
+    made = {}
+    for name, base in (("up", BASE), ("down", np.uint64(pow(int(BASE), -1, 1 << 64)))):
+        steps = np.full(max(n, _KEPT), base, np.uint64)
+        steps[0] = 1
+        made[name] = np.cumprod(steps, dtype=np.uint64)
+    if n <= _KEPT:
+        _POWERS.update(made)
+    return made["up"], made["down"]
 
 
 class Prefixes:

@@ -320,19 +320,57 @@ def brute_groups(docs, n=5, percent=80):
     return {k: (len(s), find(k)) for k, s in sets.items()}
 
 
-@pytest.mark.parametrize(("crowd", "frequent"), [(8, 1 << 17), (2, 40), (1, 1)])
-def test_jaccard(spark, docs, monkeypatch, crowd, frequent):
-    monkeypatch.setattr(jaccard, "CROWD", crowd)
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+@pytest.mark.parametrize(("crowd", "frequent", "hot", "cell"), [(8, 1 << 17, 4096, 2048), (2, 40, 3, 2), (1, 1, 2, 1), (2, 1 << 17, 2, 3)])
+def test_jaccard(spark, docs, monkeypatch, crowd, frequent, hot, cell):
+    for name, value in (("CROWD", crowd), ("FREQUENT", frequent), ("HOT", hot), ("CELL", cell), ("MEMBERS", cell)):
+        monkeypatch.setattr(jaccard, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, "doc_id", "text").collect()}
     assert got == brute_groups({r["doc_id"]: r["text"] for r in docs.collect()})
 
 
 def test_jaccard_odd_rows(spark, empty):
     assert jaccard.join(empty, "doc_id", "text").count() == 0
-    df = spark.createDataFrame([(2, "a b c d e f"), (2, "a b c d e f"), (1, "A B C D E F"), (None, "a b c d e f"), (3, None)], "doc_id long, text string")
+    near = " ".join(f"w{i}" for i in range(60))
+    texts = [(2, "a b c d e f"), (2, "a b c d e f"), (1, "A B C D E F"), (None, "a b c d e f"), (3, None), (None, None), (None, near + " x"), (None, near), (9, "other text"), (9, near + " y"), (None, "alone")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
     rows = [tuple(r) for r in jaccard.join(df, "doc_id", "text").collect()]
-    assert sorted(rows) == [(1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3)]
+    assert Counter(rows) == Counter([(1, 2, 1), (2, 2, 1), (2, 2, 1), (None, 2, 1), (3, 0, 3), (None, 0, None), (None, 57, 9), (None, 56, 9), (9, 1, 9), (9, 57, 9), (None, 1, None)])
+
+
+def test_jaccard_crowds(spark):
+    """Groups of near copies of different sizes around shared words, with every path for crowds in use."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for group in range(12):
+        base = words[group * 5 : group * 5 + 60 + group * 3]
+        for _ in range(15):
+            own = list(base)
+            for _ in range(rng.randrange(6)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own[: len(own) - rng.randrange(8)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for hot, cell in ((4096, 2048), (5, 4)):
+        with pytest.MonkeyPatch.context() as m:
+            for name, value in (("OFFER", 2), ("HOT", hot), ("CELL", cell), ("MEMBERS", 3)):
+                m.setattr(jaccard, name, value)
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, "doc_id", "text").collect()}
+        assert got == brute_groups(dict(enumerate(texts)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=600))
+def test_signatures_bound_the_difference(one, two):
+    bits = [jaccard.signature(np.array(sorted(x), np.uint64)) for x in (one, two)]
+    assert jaccard.differ(*bits) <= len(one ^ two) and jaccard.differ(bits[0], bits[0]) == 0
+    assert jaccard.differ(bits[0], jaccard.folded(np.frombuffer(bits[1], np.uint8), jaccard.BRIEF).tobytes()) <= len(one ^ two)
+
+
+def test_segments_part_the_set():
+    s = np.unique(np.random.default_rng(1).integers(0, 2**64 - 1, 500, dtype=np.uint64))
+    order = jaccard.Order(s[::7].copy(), np.arange(len(s[::7])))
+    parts = order.segments(s)
+    assert len(parts) == jaccard.FRAGMENTS and sorted(np.concatenate(parts).tolist()) == s.tolist() and set(parts[-1].tolist()) == set(s[::7].tolist())
 
 
 # 9 PII
