@@ -36,10 +36,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import discard, slices, text_of, write_shared
+from citeloom.llm.common import discard, fresh, slices, text_of, write_shared
 from citeloom.llm.hashing import BASE, Prefixes, mixed
 from citeloom.operators.components import connected_components
 
@@ -497,16 +497,22 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, order: Or
 def texts_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """s, packed: a text of each class of the pairs, as a written table."""
     place = ["row", "missing", "mark"]
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    found = packed_texts(rows).join(classes.join(needed, "name").select(*place, F.col("name").alias("s")), place).dropDuplicates(place)
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    # As a table of known size: where it is small, Spark sends it to the texts, and they need not be shuffled.
+    needed = write_shared(classes.join(names, "name").select(*place, F.col("name").alias("s")), "needed", free=False)
+    found = packed_texts(rows).join(needed, place).dropDuplicates(place)
     return write_shared(found.select("s", "packed"), "texts", codec="none")
 
 
-def join(df: DataFrame, key: str, text: str, n: int = 5, percent: int = 80) -> DataFrame:
-    """key, n_shingles, component_id (the least key reachable by links) of every row."""
-    t, k = text_of(F.col(text)), F.col(key).cast("long")
-    # Ids may be missing or come again with another text: a text is found by id and mark.
-    rows = df.select(F.coalesce(k, F.lit(0)).alias("row"), k.isNull().alias("missing"), F.xxhash64(t).alias("mark"), t.alias("text"))
+def identity(key: str, text: str) -> dict[str, Column]:
+    """What a row is found again by: its id, whether that is missing, and a hash of its text, as ids may be missing or come again with another text."""
+    k = F.col(key).cast("long")
+    return {"row": F.coalesce(k, F.lit(0)), "missing": k.isNull(), "mark": F.xxhash64(text_of(F.col(text)))}
+
+
+def _grouped(df: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """row, missing, mark, s, t, size of every row; and of every class s, t, size, one (the first row's identity), least, c (the name of its component)."""
+    rows = df.select(*(c.alias(name) for name, c in identity(key, text).items()), text_of(F.col(text)).alias("text"))
     described = write_shared(describe_sets(rows, n), "sets")
     offered = described.filter("kind = 1").groupBy("s").agg(F.sum("t").alias("docs")).orderBy(F.desc("docs"), "s").limit(FREQUENT).collect()
     order = Order(np.array([r["s"] for r in reversed(offered)], np.int64).view(np.uint64), np.array([r["docs"] for r in reversed(offered)], np.int64))
@@ -542,9 +548,27 @@ def join(df: DataFrame, key: str, text: str, n: int = 5, percent: int = 80) -> D
         discard(edges, more_texts)
     discard(texts, pairs, rest, met, placed, links)
 
-    of_class = classes.join(grouped, classes["name"] == grouped["id"], "left").select("s", "t", "size", "least", F.coalesce("component", "name").alias("c"))
+    own = F.struct("missing", "row", "mark").alias("one")
+    return found, classes.join(grouped, classes["name"] == grouped["id"], "left").select("s", "t", "size", own, "least", F.coalesce("component", "name").alias("c"))
+
+
+def join(df: DataFrame, key: str, text: str, n: int = 5, percent: int = 80) -> DataFrame:
+    """key, n_shingles, component_id (the least key reachable by links) of every row."""
+    found, of_class = _grouped(df, key, text, n, percent)
     least = of_class.groupBy("c").agg(F.min("least").alias("component_id"))
     of_class = of_class.join(least, "c").select("s", "t", "size", "component_id")
     out = found.join(of_class, ["s", "t", "size"], "left")
     own = F.when(~F.col("missing"), F.col("row"))
     return out.select(own.alias(key), F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", own).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, key: str, text: str, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, as they are, of which each group of linked ones keeps the one with the least key (one without a key where all are); rows without words all stay."""
+    _, of_class = _grouped(df, key, text, n, percent)
+    stay = of_class.groupBy("c").agg(F.min("one").alias("one")).select("one.*")
+    own = identity(key, text)
+    names = fresh(df, *own)
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = df.filter(worded).withColumns(dict(zip(names, own.values(), strict=True)))
+    kept = rows.join(stay.select(*(F.col(c).alias(name) for c, name in zip(own, names, strict=True))), names, "left_semi").dropDuplicates(names)
+    return kept.select(df.columns).unionByName(df.filter(~worded))
