@@ -11,8 +11,10 @@ No payload is shuffled: the store is written where the payload was read, describ
 read back, and only the descriptions (some 200 bytes each) meet the references. Copies of a payload are
 merged by an aggregation with map-side combine; a join by a hot digest can be split, as its stored side has one row.
 
-Defined results: null HTML has an empty sequence; a null payload counts as empty and is padded to one
-whole row of samples; a reference without a stored payload stays, with nulls.
+Defined results: null and empty HTML have an empty sequence; a null payload counts as empty and is padded to one
+whole row of samples; a reference without a stored payload stays, with nulls. Documents are told apart by their key: rows that share one must
+have the same HTML (the query's keys hold a digest), and get equal rows. Very long texts are read whole; an empty table has an
+empty result; columns but those named play no part.
 """
 
 from __future__ import annotations
@@ -24,15 +26,16 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import write_shared
+from citeloom.llm.common import slices, write_shared
 
 #: Bytes of a row of samples: 64 pixels of 3 samples.
 ROW = 192
+#: Bytes of pages or payloads that are worked on at a time.
+CHUNK = 1 << 20
 ITEMS = "array<struct<position: int, kind: string, text: string, media: string, caption: string, length: bigint>>"
 #: Fixed names of the language.
 BLOCKS = frozenset("address article aside blockquote body br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split())
@@ -113,8 +116,9 @@ def parse_sequences(df: DataFrame, key: str, html: str) -> DataFrame:
     item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media", pa.string()), ("caption", pa.string()), ("length", pa.int64())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sequence(h) for h in b.column(1).to_pylist()], pa.list_(item))], names=["key", "items"])
+        for whole in batches:
+            for b in slices(whole, 1, CHUNK):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sequence(h) for h in b.column(1).to_pylist()], pa.list_(item))], names=["key", "items"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(parse, f"key {kind}, items {ITEMS}").withColumnRenamed("key", key)
@@ -165,17 +169,16 @@ def decode(media: bytes) -> bytes:
 def store_media(payloads: DataFrame, payload: str) -> DataFrame:
     """Write every (padded) payload in its stored form; a table of digest and media, as it is read back."""
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seen, keys, media = set(), [], []
-            for p in map(bytes, b["payload"]):
-                if (d := hashlib.sha256(p).digest()) not in seen:
-                    seen.add(d)
-                    keys.append(d)
-                    media.append(encode(p))
-            yield pd.DataFrame({"digest": keys, "media": media})
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 0, CHUNK):
+                made = {}
+                for p in b.column(0).to_pylist():
+                    if (d := hashlib.sha256(p).digest()) not in made:
+                        made[d] = encode(p)
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in (made, made.values())], names=["digest", "media"])
 
-    return write_shared(payloads.select(F.col(payload).alias("payload")).mapInPandas(put, "digest binary, media binary"), "media", codec="none")
+    return write_shared(payloads.select(F.col(payload).alias("payload")).mapInArrow(put, "digest binary, media binary"), "media", codec="none")
 
 
 def describe(samples: bytes) -> str:
@@ -190,21 +193,25 @@ def describe(samples: bytes) -> str:
 def media_features(store: DataFrame) -> DataFrame:
     """One row for each digest: payload and media sizes and digests, checksum and feature, of the stored bytes."""
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for d, m in zip(map(bytes, b["digest"]), map(bytes, b["media"]), strict=True):
-                samples = decode(m)
-                sha = hashlib.sha256(samples).digest()
-                if sha != d:
-                    raise ValueError("the stored form does not give its payload back")
-                rows.append((d, len(samples), zlib.crc32(samples[-16:]), len(m), hashlib.sha256(m).digest(), describe(samples)))
-            yield pd.DataFrame(rows, columns=["digest", "payload_bytes", "tail_crc32", "media_bytes", "media_sha", "feature"])
-
-    found = store.mapInPandas(look, "digest binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha binary, feature string")
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1, CHUNK):
+                rows = []
+                for d, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    samples = decode(m)
+                    sha = hashlib.sha256(samples).digest()
+                    if sha != d:
+                        raise ValueError("the stored form does not give its payload back")
+                    rows.append((d, len(samples), zlib.crc32(samples[-16:]), len(m), hashlib.sha256(m).digest(), describe(samples)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), FOUND.values(), strict=True)], names=list(FOUND))
+
+    found = store.mapInArrow(look, "digest binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha binary, feature string")
     return found.groupBy("digest").agg(*(F.min(c).alias(c) for c in found.columns[1:]))
 
 
+FOUND = {"digest": pa.binary(), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha": pa.binary(), "feature": pa.string()}
+
+
 def references(sequences: DataFrame, key: str) -> DataFrame:
     """key, position, media, caption, length of every media reference."""
     item = F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("i")
@@ -220,6 +227,7 @@ def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
 def assemble(sequences: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
     """Every document's items in order, those of media with what was resolved; a group is one document's references."""
     cols = [c for c in resolved.columns if c not in (key, "media", "caption", "length")]
-    by = resolved.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*cols)))).alias("_found"))
-    joined = sequences.join(by, key, "left")
+    once = resolved.dropDuplicates([key, "position"])
+    by = once.groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*cols)))).alias("_found"))
+    joined = sequences.join(by, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     return joined.withColumn("items", F.transform("items", lambda i: i.withField("found", F.try_element_at("_found", i["position"])))).drop("_found")

@@ -7,11 +7,15 @@ belong to, and from the sources to their quotas, at least total cost. Then docum
 selected: whole passes over a pattern first, and for the rest of its flow seeded documents.
 
 Only the aggregates come to the driver: a row for each pattern, of which there are at most
-as many as ``max_patterns`` (an error beyond). The selection is a few aggregations over seeded bins and
-a window over the documents of one bin; no source is ever in one task.
-
-Defined results: documents without words are never taken; a null source is a source of its own, last by
-code point; a document is taken wholly or not, once or repeatedly; reruns agree for the same seed.
+as many as ``max_patterns`` (an error beyond). The selection follows a seeded order: the place where a partial pass ends is
+found by sums over ever smaller ranges of it, at most 2**STEP for each pattern at a time, and among the documents of the last range;
+no source is ever in one task. Then the same is done for what the first document that did not fit has left open, until no document
+fits any more.
+
+Defined results: documents without words (null and empty texts) are never taken; a null source is a source of its own, last by
+code point; a document is taken wholly or not, once or repeatedly; reruns agree for the same seed. Rows that share an id, and those
+without one, are drawn one by one, by their place in the input: over the same files reruns agree on them as well. An empty table
+has an empty result. The added columns have the names that are asked for; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +27,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import write_shared
+from citeloom.llm.common import fresh, write_shared
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: 2**BIN_BITS bins of the seeded order; a window runs over the documents of one bin of one pattern.
-BIN_BITS = 16
-#: Rounds that fill what the first document which did not fit has left open. Each leaves less than the shortest document not taken.
-ROUNDS = 8
+#: A range of the seeded order is parted into 2**STEP ranges, until it holds at most FEW documents.
+STEP, FEW = 8, 256
 
 
 def words(text: Column) -> Column:
@@ -116,23 +118,27 @@ def route(patterns: Sequence[tuple[tuple, int]], quota: dict, max_repeats: int)
     return [sum(flow.edges[e ^ 1][1] for e in es) for es in tiers]
 
 
-def keyed(df: DataFrame, key: str, size: Column, sources: Column, seed: str) -> DataFrame:
-    """Add the columns that a plan is made from and applied to: mix_size, mix_id (of the pattern), mix_draw.
+def keyed(df: DataFrame, key: str, size: Column, sources: Column, seed: str) -> dict[str, Column]:
+    """What a plan is made from and applied to: the size, the pattern's id, and the place in the seeded order (draw, then tie).
 
-    The seeded order does not depend on partitions; rows with the same key are taken together.
+    The draw of a row with a key depends on nothing else.
     """
-    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    return df.withColumns({"mix_size": size.cast("long"), "mix_id": F.to_json(F.struct(sources.alias("p"))), "mix_draw": draw})
+    tie = F.xxhash64(F.monotonically_increasing_id())
+    draw = F.when(F.col(key).isNull(), tie).otherwise(F.xxhash64(F.lit(seed), F.col(key).cast("string")))
+    return {"size": size.cast("long"), "id": F.to_json(F.struct(sources.alias("p"))), "draw": draw, "tie": tie}
+
+
+CUTS = "array<struct<most: bigint, draw: bigint, tie: bigint>>"
 
 
 def plan_mix(df: DataFrame, key: str, size: Column, sources: Column, quota: Callable[[list], dict], max_repeats: int = 3, seed: str = "mix", max_patterns: int = 4096) -> DataFrame:
-    """What to take of each pattern: mix_id, passes, cuts (a row for each pattern).
+    """What to take of each pattern: id, passes, cuts (a row for each pattern).
 
     sources: an array column, the sources a document belongs to. quota: from the list of
     (pattern, size), the words by source.
     """
     spark = df.sparkSession
-    docs = keyed(df, key, size, sources, seed).select(F.col("mix_id").alias("id"), F.col("mix_size").alias("size"), F.col("mix_draw").alias("draw"), sources.alias("pattern"))
+    docs = df.select(*(c.alias(n) for n, c in keyed(df, key, size, sources, seed).items()), sources.alias("pattern"))
     docs = write_shared(docs, "mix")
     sums = docs.groupBy("id").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(sums) > max_patterns:
@@ -142,55 +148,72 @@ def plan_mix(df: DataFrame, key: str, size: Column, sources: Column, quota: Call
     flows = route(patterns, quota(patterns), max_repeats)
     passes = {r["id"]: (f // r["size"] if r["size"] else 0) for r, f in zip(sums, flows, strict=True)}
     left = {r["id"]: (f % r["size"] if r["size"] else 0) for r, f in zip(sums, flows, strict=True)}
-    # Rounds of the partial pass, by pattern: documents of at most so many words, up to a place in the seeded order.
-    cuts: dict[str, list[tuple[int, int]]] = {i: [] for i in left}
-    for _ in range(ROUNDS):
-        found = _cut(spark, docs, cuts, {i: n for i, n in left.items() if n > 0})
-        if not found:
-            break
-        for i, (last, taken) in found.items():
-            cuts[i].append((left[i], last))
+    # Of the partial pass, by pattern: documents of at most so many words, up to a place in the seeded order.
+    cuts: dict[str, list[tuple[int, int, int]]] = {i: [] for i in left}
+    while found := _cut(docs, cuts, {i: n for i, n in left.items() if n > 0}):
+        for i, (draw, tie, taken) in found.items():
+            cuts[i].append((left[i], draw, tie))
             left[i] -= taken
-    return spark.createDataFrame([(i, passes[i], cuts[i]) for i in cuts], "mix_id string, passes long, cuts array<struct<most: bigint, last: bigint>>")
+    return spark.createDataFrame([(i, passes[i], cuts[i]) for i in cuts], f"id string, passes long, cuts {CUTS}")
 
 
-def take(df: DataFrame, plan: DataFrame, key: str, size: Column, sources: Column, seed: str = "mix") -> DataFrame:
-    """Add mix_size and mix_taken, the words that the mix takes of each row; no shuffle."""
-    rows = keyed(df, key, size, sources, seed).join(F.broadcast(plan), "mix_id")  # bound: max_patterns rows of at most ROUNDS cuts
-    chosen = F.exists("cuts", lambda c: (F.col("mix_size") <= c["most"]) & (F.col("mix_draw") <= c["last"]))
-    return rows.withColumn("mix_taken", F.col("mix_size") * (F.col("passes") + chosen.cast("long"))).drop("mix_id", "mix_draw", "passes", "cuts")
+def _chosen(size: Column, draw: Column, tie: Column, cuts: str) -> Column:
+    return F.exists(cuts, lambda c: (size <= c["most"]) & ((draw < c["draw"]) | ((draw == c["draw"]) & (tie <= c["tie"]))))
 
 
-def _chosen() -> Column:
-    return F.exists("cuts", lambda c: (F.col("size") <= c["most"]) & (F.col("draw") <= c["last"]))
+def take(df: DataFrame, plan: DataFrame, key: str, size: Column, sources: Column, seed: str = "mix", names: tuple[str, str] = ("mix_size", "mix_taken")) -> DataFrame:
+    """Add the size and the words that the mix takes of each row, by these names; no shuffle."""
+    as_size, as_taken = names
+    own = keyed(df, key, size, sources, seed)
+    held = dict(zip(own, fresh(df, as_size, "id", "draw", "tie"), strict=True))
+    planned = dict(zip(("passes", "cuts"), fresh(df, "passes", "cuts"), strict=True))
+    plan = plan.withColumnsRenamed(planned).withColumnRenamed("id", held["id"])
+    rows = df.withColumns({held[n]: c for n, c in own.items()}).join(F.broadcast(plan), held["id"])  # bound: max_patterns rows of a few cuts
+    chosen = _chosen(F.col(held["size"]), F.col(held["draw"]), F.col(held["tie"]), planned["cuts"])
+    taken = F.col(held["size"]) * (F.col(planned["passes"]) + chosen.cast("long"))
+    return rows.select(*(F.col(c) for c in df.columns), F.col(held["size"]).alias(as_size), taken.alias(as_taken))
 
 
-def _cut(spark, docs: DataFrame, cuts: dict, need: dict[str, int]) -> dict[str, tuple[int, int]]:
+def _cut(docs: DataFrame, cuts: dict, need: dict[str, int]) -> dict[str, tuple[int, int, int]]:
     """By pattern: the last place, and the words up to it, of the longest run of documents that fits into what is needed.
 
-    Documents that are longer than that, or chosen before, are left out. The cut is found by sums of
-    seeded bins first, then among the documents of the one bin in which it lies.
+    Documents that are longer than that, or chosen before, are left out. ``at`` has, for each pattern, the range in which the run ends, as
+    the draw's leading bits, and the words before it.
     """
     if not need:
         return {}
-    plan = spark.createDataFrame([(i, n, cuts[i]) for i, n in need.items()], "id string, most long, cuts array<struct<most: bigint, last: bigint>>")
-    pool = docs.select("id", "size", "draw").join(F.broadcast(plan), "id").filter((F.col("size") > 0) & (F.col("size") <= F.col("most")) & ~_chosen())
-    pool = pool.select("id", "most", "draw", "size", F.shiftright("draw", 64 - BIN_BITS).alias("bin"))
-    by_bin = Window.partitionBy("id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = pool.groupBy("id", "most", "bin").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(by_bin))
-    at = {r["id"]: r for r in bins.groupBy("id").agg(F.min(F.when(F.col("upto") > F.col("most"), F.struct("bin", (F.col("upto") - F.col("n")).alias("before")))).alias("cut"), F.sum("n").alias("all"), F.max("bin").alias("end")).collect()}
-    out, inside = {}, []
-    for i, r in at.items():
-        if r["cut"] is None:  # all of them fit
-            out[i] = ((r["end"] + 1 << 64 - BIN_BITS) - 1, r["all"])
-        else:
-            inside.append((i, r["cut"]["bin"], r["cut"]["before"]))
-            if r["cut"]["before"]:
-                out[i] = ((r["cut"]["bin"] << 64 - BIN_BITS) - 1, r["cut"]["before"])
-    if inside:
-        cut = spark.createDataFrame(inside, "id string, bin long, before long")
-        by_draw = Window.partitionBy("id").orderBy("draw").rangeBetween(Window.unboundedPreceding, 0)
-        near = pool.join(F.broadcast(cut), ["id", "bin"]).withColumn("upto", F.col("before") + F.sum("size").over(by_draw))
-        fits = near.filter(F.col("upto") <= F.col("most")).groupBy("id").agg(F.max("draw").alias("last"), F.max("upto").alias("taken"))
-        out |= {r["id"]: (r["last"], r["taken"]) for r in fits.collect()}
+    spark = docs.sparkSession
+    plan = spark.createDataFrame([(i, n, cuts[i]) for i, n in need.items()], f"id string, most long, cuts {CUTS}")
+    pool = docs.select("id", "size", "draw", "tie").join(F.broadcast(plan), "id")  # bound, as are those below: a row for each pattern
+    pool = pool.filter((F.col("size") > 0) & (F.col("size") <= F.col("most")) & ~_chosen(F.col("size"), F.col("draw"), F.col("tie"), "cuts")).drop("cuts")
+    out: dict[str, tuple[int, int, int]] = {}
+    bits, at = 0, dict.fromkeys(need, (0, 0))
+    inside: dict[int, dict] = {}
+    end = (1 << 63) - 1
+
+    def within(bits: int, at: dict) -> DataFrame:
+        ranges = spark.createDataFrame([(i, r, before) for i, (r, before) in at.items()], "id string, range long, before long")
+        rows = pool.join(F.broadcast(ranges), "id")
+        return rows.filter(F.shiftright("draw", 64 - bits) == F.col("range")) if bits else rows
+
+    while at:
+        below = bits + STEP
+        by = Window.partitionBy("id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = within(bits, at).groupBy("id", "most", "before", F.shiftright("draw", 64 - below).alias("bin")).agg(F.sum("size").alias("n"), F.count("*").alias("docs")).withColumn("upto", F.col("before") + F.sum("n").over(by))
+        over = F.when(F.col("upto") > F.col("most"), F.struct("bin", (F.col("upto") - F.col("n")).alias("before"), "docs"))
+        ends = bins.groupBy("id").agg(F.min(over).alias("cut"), F.max("upto").alias("all")).collect()
+        at, bits = {}, below
+        for r in ends:
+            i, cut = r["id"], r["cut"]
+            if cut is None:  # all of them fit
+                out[i] = (end, end, r["all"])
+                continue
+            if cut["before"]:
+                out[i] = ((cut["bin"] << 64 - bits) - 1, end, cut["before"])
+            where = at if cut["docs"] > FEW and bits < 64 else inside.setdefault(bits, {})
+            where[i] = (cut["bin"], cut["before"])
+    by = Window.partitionBy("id").orderBy("draw", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    for bits, at in inside.items():
+        near = within(bits, at).withColumn("upto", F.col("before") + F.sum("size").over(by)).filter(F.col("upto") <= F.col("most"))
+        out |= {r["id"]: (r["last"]["draw"], r["last"]["tie"], r["taken"]) for r in near.groupBy("id").agg(F.max(F.struct("draw", "tie")).alias("last"), F.max("upto").alias("taken")).collect()}
     return out

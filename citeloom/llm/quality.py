@@ -10,7 +10,9 @@ Training takes at most ``max_rows`` labelled rows (a seeded sample by id beyond
 cover every row. Statistics are written to the shared folder once, as the model is fitted and applied on them.
 
 Defined results: a null text counts as empty, and empty texts have a score; rows without a
-label are not learned from; with no rows to learn from, or labels all alike, every score is the share of label 1 (0.5 for none).
+label or a key are not learned from; with no rows to learn from, or labels all alike, every score is the share of label 1 (0.5 for none).
+Equal texts have equal scores, and repeated rows each have one; very long texts are read whole; an empty table has an empty result. Other
+columns of the input play no part in scoring, whatever their names, and pass through keep_good as they are.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import write_shared
+from citeloom.llm.common import fresh, slices, write_shared
 
 FEATURES, FOLDS, PARTS, GRID = 256, 4, 8, 2048
+#: Bytes of text whose statistics are made at a time.
+CHUNK = 1 << 20
 #: Raw scores outside of these ends count as at the ends.
 LOW, HIGH = -0.5, 1.5
 
@@ -85,13 +88,18 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def _statistics(texts: pa.Array) -> pa.Array:
+    whole = pa.record_batch([texts], names=["text"])
+    made = [pa.array([statistics(t or "") for t in part.column(0).to_pylist()], pa.list_(pa.float64())) for part in slices(whole, 0, CHUNK)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.float64()))
+
+
 def text_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     """key and stats array<double> of every row."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stats = pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), stats], names=["key", "stats"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _statistics(b.column(1))], names=["key", "stats"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(compute, f"key {kind}, stats array<double>")
@@ -215,14 +223,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     return apply(model, stats, key).select(key, held_out(F.col(key)).alias("held_out"), "score")
 
 
-def keep_good(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows, as they are, whose text scores at least so much; no shuffle."""
-    at = docs.columns.index(text)
+def keep_good(docs: DataFrame, labels: DataFrame, least: float, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows, as they are, whose text scores at least so much.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.array([statistics(t or "") for t in b.column(at).to_pylist()])
-                yield b.filter(pc.greater_equal(pa.array(model.score(x)), least))
+    The statistics are written with the rows, so that they are made once and no row has to be found again by its key.
+    """
+    (stats,) = fresh(docs, "stats")
+    staged = write_shared(docs.withColumn(stats, F.arrow_udf(_statistics, "array<double>")(F.coalesce(text, F.lit("")))), "staged")
+    known = labels.filter(~held_out(F.col(key))).select(key, F.col(label).alias("_label"))
+    model = fit(staged.select(key, F.col(stats).alias("stats")).join(known, key), key, "_label")
+
+    def good(stats: pa.Array) -> pa.Array:
+        x = stats.flatten().to_numpy().reshape(len(stats), -1)
+        return pa.array(model.score(x) >= least) if len(x) else pa.array([], pa.bool_())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return staged.filter(F.arrow_udf(good, "boolean")(stats)).drop(stats)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import jaccard, media, mixing, packing, pii, quality, suffix, topk, url_filter, warc
-from citeloom.llm.common import table, text_of, write_shared
+from citeloom.llm.common import fresh, table, text_of, write_shared
 
 #: Host, path and kind of the rules.
 URL_RULES = (
@@ -18,18 +18,51 @@ URL_RULES = (
 )
 
 
+def page_of(text: F.Column, digest: F.Column, n_bytes: F.Column) -> F.Column:
+    """A document as HTML: a paragraph for each line that has words, and its payload in three places: a figure behind the first paragraph, an image
+    behind the middle one, and a figure at the end, each captioned with what stands before it."""
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    lines = F.filter(F.split(safe, "\n"), lambda x: x.rlike(r"\S"))
+    n = F.size(lines)
+    img = lambda alt: F.concat(F.lit('<img src="sha256:'), digest, F.lit('" data-length="'), n_bytes.cast("string"), F.lit('" alt="'), alt, F.lit('">'))
+    figure = lambda caption: F.concat(F.lit("<figure>"), img(F.lit("")), F.lit("<figcaption>"), caption, F.lit("</figcaption></figure>"))
+    head = lambda x: F.coalesce(F.substr(x, F.lit(1), F.lit(60)), F.lit(""))
+    line = lambda i: F.try_element_at(lines, i)
+    half = F.floor(n / 2).cast("int")
+    paragraphs = F.transform(lines, lambda x, i: F.concat(F.lit("<p>"), x, F.lit("</p>"), F.when(i == 0, figure(head(x))).otherwise(F.lit("")), F.when(i + 1 == half, img(head(x))).otherwise(F.lit(""))))
+    return F.concat(F.array_join(paragraphs, ""), figure(head(F.when(n > 0, line(n)))))
+
+
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(text_of(F.col("text")), "UTF-8").alias("bytes"))
-    docs = docs.select("doc_id", F.length("bytes").cast("long").alias("n_bytes"), media.padded(F.col("bytes")).alias("payload"))
+    t = text_of(F.col("text"))
+    raw = table(spark, sf_dir, "documents").select("doc_id", t.alias("text"), F.encode(t, "UTF-8").alias("bytes"))
+    docs = raw.select("doc_id", "text", F.length("bytes").cast("long").alias("n_bytes"), media.padded(F.col("bytes")).alias("payload"))
     # As a table of its own, so that nothing but the join needs its partitioning and Spark may split a hot digest.
     features = write_shared(media.media_features(media.store_media(docs, "payload")), "features")
-    # Each document as a page: a line of text and its payload as a figure, by digest.
-    html = F.format_string('<p>%s</p><figure><img src="sha256:%s" data-length="%s"><figcaption>%s</figcaption></figure>', F.lit("document"), F.sha2("payload", 256), "n_bytes", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    pages = media.parse_sequences(docs.select("doc_id", html.alias("html")), "doc_id", "html")
-    found = media.resolve(media.references(pages, "doc_id"), features)
+    digest = F.sha2("payload", 256)
+    # Ids may be missing or come again: a page is known by its id and its payload.
+    page = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest)
+    pages = media.parse_sequences(docs.select(page.alias("page"), page_of(F.col("text"), digest, F.col("n_bytes")).alias("html")), "page", "html")
+    # Of texts, digests travel; every item keeps its place.
+    pages = write_shared(pages.withColumn("items", F.transform("items", lambda i: i.withField("text", F.sha2(i["text"], 256)))), "pages")
+    whole = media.assemble(pages, media.resolve(media.references(pages, "page"), features), "page")
     hexed = lambda c: F.lower(F.hex(c))
+    shown = F.filter("items", lambda i: i["kind"] == "media")
+    last = F.element_at("shown", -1)
+    found = whole.select("page", "items", shown.alias("shown")).select("page", "items", "shown", last["found"].alias("f"), last["length"].alias("n_bytes"))
     return found.select(
-        "doc_id", F.col("length").alias("n_bytes"), "payload_bytes", hexed("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media_sha").alias("media_sha256"), "feature", "position", "caption"
+        F.expr("try_cast(split(page, ':')[0] AS bigint)").alias("doc_id"),
+        "n_bytes",
+        "f.payload_bytes",
+        hexed("f.digest").alias("payload_sha256"),
+        "f.tail_crc32",
+        "f.media_bytes",
+        hexed("f.media_sha").alias("media_sha256"),
+        "f.feature",
+        F.size("items").cast("long").alias("n_items"),
+        F.array_join(F.transform("shown", lambda i: i["position"].cast("string")), ",").alias("positions"),
+        F.sha2(F.array_join(F.transform("shown", lambda i: i["caption"]), "\n", ""), 256).alias("captions_sha256"),
+        F.sha2(F.array_join(F.transform("items", lambda i: F.coalesce(i["text"], hexed(i["found"]["digest"]))), "\n"), 256).alias("sequence_sha256"),
     )
 
 
@@ -64,7 +97,7 @@ PACK_TOKENS = 1024
 
 def packed(docs: DataFrame) -> DataFrame:
     out = packing.pack_documents(docs, "doc_id", "text", **tokenizer_files(), capacity=PACK_TOKENS)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *packing.LEFT)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,23 +116,24 @@ def mix_targets(patterns: list) -> dict:
     return {s: (size[s], t) for s, t in zip(names, exact, strict=True)}
 
 
-def mixed(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """All rows of documents with mix_size and mix_taken; by source, its size and target."""
+def mixed(docs: DataFrame) -> tuple[DataFrame, dict, tuple[str, str]]:
+    """All rows of documents with their size and the words taken; by source, its size and target; the two columns' names."""
     targets: dict = {}
 
     def quota(patterns: list) -> dict:
         targets.update(mix_targets(patterns))
         return {s: round(t) for s, (_, t) in targets.items()}
 
+    names = tuple(fresh(docs, "mix_size", "mix_taken"))
     how = {"key": "doc_id", "size": mixing.words(F.col("text")), "sources": F.array("source")}
-    return mixing.take(docs, mixing.plan_mix(docs, quota=quota, max_repeats=MIX_REPEATS, **how), **how), targets
+    return mixing.take(docs, mixing.plan_mix(docs, quota=quota, max_repeats=MIX_REPEATS, **how), **how, names=names), targets, names
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken, targets = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken, targets, (size, words) = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     sources = spark.createDataFrame([(s, n, float(t)) for s, (n, t) in targets.items()], "name string, source_size long, target double")
     out = taken.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))  # bound: the mix's max_patterns
-    return out.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", F.col("mix_taken").alias("taken"))
+    return out.select("doc_id", F.col(size).alias("size"), "source_size", "target", F.col(words).alias("taken"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +151,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> F.Column:
         return F.size(F.filter("pii_spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"), F.array_join(F.transform("pii_spans", lambda s: F.format_number(s["score"], "0.00")), ",").alias("scores"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,14 +233,14 @@ WITH raw AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), k(kind, ord, rx) AS (
   VALUES ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), ('ip', 2, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
-         ('card', 3, '[0-9]([ -]?[0-9])+'), ('phone', 4, '\+[0-9][ ().0-9-]+[0-9]'), ('group', 3, '[0-9]+'), ('iban', 5, '[A-Za-z0-9]+')
+         ('card', 3, '[0-9]([ -]?[0-9])+'), ('phone', 4, '\+[0-9][ ().0-9-]+[0-9]'), ('group', 3, '[0-9]+'), ('iban', 5, '')
 ), pieces AS (
   SELECT doc_id, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM raw
   UNION ALL SELECT doc_id, 'ip', regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM raw
   UNION ALL SELECT doc_id, 'card', regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), string_split_regex(t, '[0-9]([ -]?[0-9])+') FROM raw
   UNION ALL SELECT doc_id, 'phone', regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][ ().0-9-]+[0-9]') FROM raw
   UNION ALL SELECT doc_id, 'group', regexp_extract_all(t, '[0-9]+'), string_split_regex(t, '[0-9]+') FROM raw
-  UNION ALL SELECT doc_id, 'iban', regexp_extract_all(t, '[A-Za-z0-9]+'), string_split_regex(t, '[A-Za-z0-9]+') FROM raw
+  UNION ALL SELECT doc_id, 'iban', regexp_extract_all(t, '\b[A-Z]{2}[0-9]{2}([A-Z0-9]{11,30}|( [A-Z0-9]{4}){2,7}( [A-Z0-9]{1,3})?)\b'), string_split_regex(t, '\b[A-Z]{2}[0-9]{2}([A-Z0-9]{11,30}|( [A-Z0-9]{4}){2,7}( [A-Z0-9]{1,3})?)\b') FROM raw
 ), unnested AS (
   SELECT doc_id, kind, unnest(m) AS v, unnest(g[:len(m)]) AS gap, unnest(range(len(m))) AS i FROM pieces
 ), placed AS (
@@ -221,30 +255,39 @@ WITH raw AS (
   WHERE kind = 'email' OR kind = 'phone' AND length(d) BETWEEN 9 AND 15 OR kind = 'card' AND luhn
      OR kind = 'ip' AND len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255')) = 0
 ), iban AS (
-  SELECT doc_id, s, e FROM tested
-  WHERE kind = 'iban' AND regexp_full_match(v, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}')
-    AND list_reduce(list_prepend(0::bigint, list_transform(string_split(v[5:] || v[:4], ''), lambda c: (CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)::bigint)),
+  SELECT doc_id, s, e FROM (SELECT *, replace(v, ' ', '') AS c FROM tested WHERE kind = 'iban')
+  WHERE list_reduce(list_prepend(0::bigint, list_transform(string_split(c[5:] || c[:4], ''), lambda c: (CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)::bigint)),
         lambda a, b: (CASE WHEN b > 9 THEN a * 100 + b ELSE a * 10 + b END) % 97) = 1
-), spans AS (
+), cue(kind, prior, rx) AS (
+  VALUES ('email', 0.7, 'mail|contact|write to'), ('ip', 0.6, 'ip|host|server|address'), ('card', 0.8, 'card|visa|mastercard|amex|payment|credit'), ('phone', 0.6, 'phone|tel|call|mobile|fax'),
+         ('iban', 0.8, 'iban|account|bank|transfer')
+), proposed AS (
   SELECT doc_id, kind, s, e, true AS base FROM base
   UNION ALL
   SELECT g.doc_id, 'card', g.s, g.e, false FROM checked g
   WHERE kind = 'group' AND luhn AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = g.doc_id AND b.kind = 'card' AND b.s < g.e AND g.s < b.e)
   UNION ALL SELECT doc_id, 'iban', s, e, false FROM iban
+), scored AS (
+  SELECT p.*, prior - CASE WHEN p.kind = 'card' AND NOT base THEN 0.15 ELSE 0 END
+         + CASE WHEN regexp_matches(lower(substr(t, greatest(s - 40, 0) + 1, least(s, 40))), '\b(' || rx || ')\b') THEN 0.1 ELSE 0 END AS score
+  FROM proposed p JOIN cue ON cue.kind = p.kind JOIN raw ON raw.doc_id = p.doc_id
+), spans AS (
+  SELECT * FROM scored WHERE base OR score >= 0.7
 ), agg AS (
   SELECT doc_id, count(*) FILTER (base AND spans.kind = 'email') AS n_email, count(*) FILTER (base AND spans.kind = 'ip') AS n_ip,
          count(*) FILTER (base AND spans.kind = 'card') AS n_card, count(*) FILTER (base AND spans.kind = 'phone') AS n_phone,
-         string_agg(concat_ws(':', spans.kind, s, e), ',' ORDER BY ord, s) FILTER (base) AS b, string_agg(concat_ws(':', spans.kind, s, e), ',' ORDER BY ord, s) AS a
+         string_agg(concat_ws(':', spans.kind, s, e), ',' ORDER BY ord, s) FILTER (base) AS b, string_agg(concat_ws(':', spans.kind, s, e), ',' ORDER BY ord, s) AS a,
+         string_agg(printf('%.2f', score::double), ',' ORDER BY ord, s) AS scores
   FROM spans JOIN k ON k.kind = spans.kind GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-       sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(scores, '') AS scores
 FROM raw LEFT JOIN agg USING (doc_id)
 """,
     "op10_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::double))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::double))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id

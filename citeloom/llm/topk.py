@@ -1,17 +1,17 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Vectors become integers; a dimension is a term. Rows are packed into blocks. A task
-holds one block of queries and one of candidates: for each term, the queries that
-have a weight there scatter it, times the term's posting list, into the block's dense
-score array. Then k are selected by partition, and the lists of all blocks are merged.
-
-Every query meets every candidate, but only as blocks: the query set is stated by the
-caller. Memory of a task: one candidate block, one query block and a score array.
-
-Defined results: vectors that are null, empty, or hold a null or non-finite component take no
-part, neither as query nor as candidate. Shorter vectors count as zero beyond their end.
-Equal scores go to the smaller id; a query never meets rows of its own id. Scores are 64-bit integers and
-exact while ``dim * max|component|**2`` stays below 2**63.
+Vectors become integers; a dimension is a term. Candidates are dealt over resident blocks, one for each group of rows that meets in a
+task; the queries pass by in small blocks. For each term, the queries that have a weight there scatter it, times the
+term's posting list, into a dense score array of a tile of candidates. Then k are selected by partition, and the lists of all tiles
+and blocks are merged.
+
+Every query meets every candidate, but only as blocks: the query set is stated by the caller. A candidate travels once, a query
+once for each resident block. Memory of a task: one resident block, one query block and a tile of scores.
+
+Defined results: vectors that are null, or hold a null or non-finite component, take no part, neither as query nor as candidate;
+nor do rows without an id. Shorter vectors count as zero beyond their end, so an empty one scores 0 with all. Repeated rows are
+candidates each on its own. Equal scores go to the smaller id; a query never meets rows of its own id. With no candidates or no queries the
+result is empty. Scores are 64-bit integers and exact while ``dim * max|component|**2`` stays below 2**63. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 512, 4096
+QUERY_BLOCK, RESIDENT, TILE_ROWS = 512, 1 << 16, 4096
 #: Score cells that are filled at a time, to stay in the cache.
 TILE = 64
 
@@ -31,25 +33,27 @@ TILE = 64
 def integer_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     """id and ints = floor(scale * x) of every usable vector."""
     bad = F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    usable = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)))
+    usable = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)))
     return usable.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("ints"))
 
 
-def pack(df: DataFrame, rows: int) -> DataFrame:
-    """Blocks of at most so many rows: ids and a row-major matrix, as bytes."""
+def pack(df: DataFrame, rows: int, blocks: int = 0) -> DataFrame:
+    """Pieces of at most so many rows: ids and a row-major matrix, as bytes. blocks: the resident blocks that the pieces are dealt over in turn."""
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = TaskContext.get().partitionId()
         for b in batches:
             for at in range(0, len(b), rows):
-                part = b.iloc[at : at + rows].sort_values("id", kind="stable")
-                dim = max(map(len, part["ints"]))
+                part = b.iloc[at : at + rows]
+                dim = max(1, max(map(len, part["ints"])))
                 m = np.zeros((len(part), dim), np.int64)
                 for i, v in enumerate(part["ints"]):
                     m[i, : len(v)] = v
                 small = np.int16 if np.abs(m).max() < 2**15 else np.int64
-                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "dim": [dim], "width": [np.dtype(small).itemsize], "cells": [m.astype(small).tobytes()]})
+                turn += 1
+                yield pd.DataFrame({"block": [turn % max(1, blocks)], "ids": [part["id"].to_numpy(np.int64).tobytes()], "dim": [dim], "width": [np.dtype(small).itemsize], "cells": [m.astype(small).tobytes()]})
 
-    return df.mapInPandas(blocks, "ids binary, dim int, width int, cells binary")
+    return df.mapInPandas(pieces, "block int, ids binary, dim int, width int, cells binary")
 
 
 def unpacked(ids: bytes, dim: int, width: int, cells: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -81,35 +85,63 @@ def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate((above[np.lexsort((ids[above], -scores[above]))], at))
 
 
+def resident(pieces: list[tuple[np.ndarray, np.ndarray]], tile: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ids, ascending, and the postings (terms x rows) of their tiles."""
+    dim = max(m.shape[1] for _, m in pieces)
+    whole = np.zeros((sum(len(i) for i, _ in pieces), dim), np.int64)
+    at = 0
+    for own, m in pieces:
+        whole[at : at + len(own), : m.shape[1]] = m
+        at += len(own)
+    ids = np.concatenate([i for i, _ in pieces])
+    order = np.argsort(ids, kind="stable")
+    return ids[order], [np.ascontiguousarray(whole[order[lo : lo + tile]].T) for lo in range(0, len(order), tile)]
+
+
 def search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of every query.
 
     queries, rows: id long, ints array<long> (see integer_vectors).
     """
-    spark = rows.sparkSession
-    q = pack(queries, QUERY_BLOCK).select(F.struct("ids", "dim", "width", "cells").alias("q"))
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    # A query block goes to one cell, the candidate blocks to every cell: n grows with the stated query set.
-    cells = max(n, spark.sparkContext.defaultParallelism)
-    q = q.withColumn("cell", F.pmod(F.xxhash64("q.ids"), F.lit(n)).cast("int"))
-    c = pack(rows, ROW_BLOCK).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cell"), F.struct("ids", "dim", "width", "cells").alias("c"))
-    pairs = c.join(q, "cell").repartition(cells)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n = rows.count()
+    blocks = max(1, -(-n // RESIDENT), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TILE_ROWS)))
+    columns = ["block", "kind", "ids", "dim", "width", "cells"]
+    c = pack(rows, TILE_ROWS, blocks).withColumn("kind", F.lit(0))
+    q = pack(queries, QUERY_BLOCK).withColumn("kind", F.lit(1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = c.select(columns).unionByName(q.select(columns)).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, pieces, held = None, [], None
         for b in batches:
-            for cq, cc in zip(b["q"], b["c"], strict=True):
-                qids, qm = unpacked(**cq)
-                ids, m = unpacked(**cc)
-                scores = accumulate(qm, np.ascontiguousarray(m.T))
-                found = []
-                for i, own in enumerate(qids):
-                    s, who = scores[i], ids
-                    if len(mine := np.flatnonzero(ids == own)):
-                        s, who = np.delete(s, mine), np.delete(ids, mine)
-                    best = select(s, who, k)
-                    found.append((np.full(len(best), own), who[best], s[best]))
-                yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
-
-    best = pairs.mapInPandas(score, "query_id long, vec_id long, score long")
+            for i in range(b.num_rows):
+                at, kind, *packed = (c[i].as_py() for c in b.columns)
+                if at != block:
+                    block, pieces, held = at, [], None
+                if kind == 0:
+                    pieces.append(unpacked(*packed))
+                    continue
+                if not pieces and held is None:
+                    continue
+                if held is None:
+                    held, pieces = resident(pieces, TILE_ROWS), []
+                ids, tiles = held
+                qids, qm = unpacked(*packed)
+                best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qids)
+                for t, postings in enumerate(tiles):
+                    own_ids = ids[t * TILE_ROWS : (t + 1) * TILE_ROWS]
+                    scores = accumulate(qm, postings)
+                    for j, own in enumerate(qids):
+                        s, who = scores[j], own_ids
+                        if len(mine := np.flatnonzero(who == own)):
+                            s, who = np.delete(s, mine), np.delete(who, mine)
+                        top = select(s, who, k)
+                        s, who = np.concatenate((best[j][0], s[top])), np.concatenate((best[j][1], who[top]))
+                        by = np.lexsort((who, -s))[:k]
+                        best[j] = (s[by], who[by])
+                sizes = [len(x[0]) for x in best]
+                found = [np.repeat(qids, sizes), *(np.concatenate(x) for x in zip(*((w, s) for s, w in best), strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+    best = met.mapInArrow(score, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

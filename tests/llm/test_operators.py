@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on odd rows."""
 
 import hashlib
+import html
 import itertools
 import random
 import re
@@ -28,8 +29,8 @@ def test_media_round_trip():
 
 
 def test_sequences(spark):
-    html = '<h1>A</h1><p>b <b>c</b></p><figure><img src="sha256:ff" alt="x"><figcaption>cap  tion</figcaption></figure><script>no</script>tail<img src="u.png" alt="alt"><img alt="none">'
-    items = media.sequence(html)
+    page = '<h1>A</h1><p>b <b>c</b></p><figure><img src="sha256:ff" alt="x"><figcaption>cap  tion</figcaption></figure><script>no</script>tail<img src="u.png" alt="alt"><img alt="none">'
+    items = media.sequence(page)
     assert [(i["position"], i["kind"], i["text"], i["media"], i["caption"]) for i in items] == [(0, "text", "A", None, None), (1, "text", "b c", None, None), (2, "media", None, "ff", "cap tion"), (3, "text", "tail", None, None), (4, "media", None, "u.png", "alt")]
     assert media.sequence(None) == media.sequence("") == []
 
@@ -56,6 +57,50 @@ def test_resolve_keeps_places(spark):
     assert [i["found"] and i["found"]["payload_bytes"] for i in whole[1]] == [None, 192, None] and whole[None] == []
 
 
+def brute_page(text):
+    """What op1_media says of a text: payload and sequence, found without the library."""
+    raw = text.encode()
+    payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+    sha, lines = hashlib.sha256(payload).hexdigest(), [x for x in text.split("\n") if re.search(r"[^ \t\r\x0b\x0c]", x)]
+    flat = lambda x: " ".join(x.split())
+    items, captions, positions = [], [], []
+
+    def show(caption):
+        positions.append(len(items))
+        captions.append(caption)
+        items.append(sha)
+
+    esc = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")[:60]
+    for i, line in enumerate(lines):
+        if flat(line):
+            items.append(hashlib.sha256(flat(line).encode()).hexdigest())
+        if i == 0:
+            show(flat(html.unescape(esc(line))))
+        if i + 1 == len(lines) // 2:
+            show(html.unescape(esc(line)))
+    show(flat(html.unescape(esc(lines[-1]))) if lines else "")
+    digest = lambda x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+    return (len(raw), len(payload), sha, zlib.crc32(payload[-16:]), len(items), ",".join(map(str, positions)), digest(captions), digest(items))
+
+
+def test_media_op(spark, docs, empty, tmp_path):
+    extra = [(2000, "a & b <c> \"d\"\nsecond line\n\n third\tline \nfourth", None, None, None, "k", 1, 1, "p", 1), (2000, "another text", None, None, None, "k", 1, 1, "p", 1), (None, "x", None, None, None, "k", 1, 1, "p", 1), (None, "x", None, None, None, "k", 1, 1, "p", 1)]
+    rows = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["n_items"], r["positions"], r["captions_sha256"], r["sequence_sha256"]) for r in queries.op1_media(spark, str(tmp_path)).collect())
+    assert got == Counter((r["doc_id"], *brute_page(r["text"] or "")) for r in rows.collect())
+    for r in queries.op1_media(spark, str(tmp_path)).collect():
+        assert r["media_bytes"] > 0 and len(r["media_sha256"]) == 64
+    features = {r["payload_sha256"]: (r["feature"], r["media_bytes"], r["media_sha256"]) for r in queries.op1_media(spark, str(tmp_path)).collect()}
+    for t in ("x", "one", extra[0][1]):
+        p = t.encode().ljust(-(-len(t.encode()) // 192) * 192)
+        x, stored = np.frombuffer(p, np.uint8).astype(int), media.encode(p)
+        want = ":".join(map(str, (len(p) // 192, x.sum(), (x**2).sum(), x.min(), x.max(), len(set(p)), x[::3].sum(), x[1::3].sum(), x[2::3].sum())))
+        assert features[hashlib.sha256(p).hexdigest()] == (want, len(stored), hashlib.sha256(stored).hexdigest())
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op1_media(spark, f"{tmp_path}/none").count() == 0
+
+
 # 2 suffix array
 
 
@@ -161,6 +206,39 @@ def test_quality_without_labels(spark, docs, empty):
     assert quality.score_documents(empty, none).count() == 0
 
 
+def test_fourier_features_approximate_the_kernel():
+    rng = np.random.default_rng(3)
+    d, k, width = 4, 4096, 1.0
+    model = quality.Model(np.zeros(d), np.ones(d), rng.normal(size=(d, k)) / (width * np.sqrt(d)), rng.uniform(0, 2 * np.pi, k), np.zeros(k + d + 1), (np.zeros(2), np.zeros(2)))
+    x = rng.normal(size=(30, d))
+    z = model.expand(x)[:, :k]
+    gauss = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * d * width**2))
+    assert np.abs(z @ z.T - gauss).max() < 0.1
+
+
+def test_summed_equations_equal_a_dense_solve(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=len(quality.NAMES))], int(rng.integers(2))) for i in range(400)]
+    train = spark.createDataFrame(rows, "doc_id long, stats array<double>, y int").repartition(5)
+    model = quality.fit(train, "doc_id", "y", ridge=1e-2)
+    stats, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    assert model.mean == pytest.approx(stats.mean(axis=0)) and model.scale == pytest.approx(stats.std(axis=0))
+    x = model.expand(stats)
+    dense = np.linalg.solve(x.T @ x + 1e-2 * len(y) / 100 * np.eye(x.shape[1]), x.T @ y)
+    assert model.weights == pytest.approx(dense, abs=1e-6)
+    assert np.all(np.diff(model.steps[1]) >= 0)
+
+
+def test_keep_good_keeps_rows_as_they_are(spark, docs, empty):
+    labels = docs.select("doc_id", F.col("text").rlike("passage|changed").cast("int").alias("quality"))
+    scores = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels).collect()}
+    wide = docs.withColumn("stats", F.lit("mine"))
+    kept = quality.keep_good(wide, labels, 0.3)
+    assert kept.columns == wide.columns
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(tuple(r) for r in wide.collect() if scores[r["doc_id"]] >= 0.3)
+    assert quality.keep_good(empty, labels, 0.3).count() == 0
+
+
 # 5 packing
 
 
@@ -182,6 +260,14 @@ def test_plan(histogram, rule, documents, attention):
             at += n
         assert at <= 64 and len(items) <= (documents or 64) and sum(n * n for _, n in items) <= (attention or 4096)
     assert max(bins) < made.bins == len(bins)
+    left = {b: rest for base, n, *rest in made.left for b in range(base, base + n)}
+    assert left == {b: [64 - sum(n for _, n in items), (documents or 64) - len(items), (attention or 4096) - sum(n * n for _, n in items)] for b, items in bins.items()}
+
+
+def test_each_capacity_binds():
+    many = {1: 40, 8: 8}
+    bins = [packing.plan(many, 64).bins, packing.plan(many, 64, documents=6).bins, packing.plan(many, 64, attention=100).bins]
+    assert bins == [2, 8, 8]
 
 
 def test_tokenizers_agree():
@@ -191,6 +277,14 @@ def test_tokenizers_agree():
         assert both.encode(t) == full.encode(t)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("ab .,'\n\t0é中 "), st.characters(exclude_categories=["Cs"])), max_size=60), st.sampled_from(["", "<|endoftext|>", "<|endoftext|><|endoftext|> "]))
+def test_tokenizers_agree_on_random_texts(text, special):
+    files = queries.tokenizer_files()
+    t = text[: len(text) // 2] + special + text[len(text) // 2 :]
+    assert packing.tokenizer(**files).encode(t) == packing.tokenizer(files["path"], None, None).encode(t)
+
+
 def test_packing(spark, docs, empty):
     got = packing.pack_documents(docs, "doc_id", "text", **queries.tokenizer_files(), capacity=256).collect()
     full = packing.Tokenizer(queries.tokenizer_files()["path"])
@@ -237,9 +331,59 @@ def test_route_prefers_first_passes():
     assert mixing.route([(("a",), 10)], {"a": 25}, 3) == [25]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "b", "c")]), st.integers(1, 3)), min_size=1, max_size=3, unique_by=lambda p: p[0]), st.fixed_dictionaries({s: st.integers(0, 5) for s in "abc"}))
+def test_route_is_optimal(patterns, quota):
+    """Against all ways to route: as much as can be, and of those the least cost of repetition."""
+
+    def cost(n, size):
+        return sum((k // size + 1) ** 2 for k in range(n))
+
+    best = None
+    for flow in itertools.product(*(range(2 * size + 1) for _, size in patterns)):
+        # Hall's condition: what patterns inside a set of sources send fits into the quotas of the set's neighbours
+        if all(sum(f for f, (m, _) in zip(flow, patterns, strict=True) if set(m) <= set(some)) <= sum(quota[s] for s in some) for n in range(1, 4) for some in itertools.combinations("abc", n)):
+            key = (-sum(flow), sum(cost(f, size) for f, (_, size) in zip(flow, patterns, strict=True)))
+            best = min(best, key) if best else key
+    got = mixing.route(patterns, quota, 2)
+    assert (-sum(got), sum(cost(f, size) for f, (_, size) in zip(got, patterns, strict=True))) == best
+
+
+def test_mixing_overlapping_sources(spark):
+    rows = [(i, 1 + i % 4, [["a"], ["b"], ["a", "b"]][i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, n long, members array<string>").repartition(4)
+    how = {"key": "doc_id", "size": F.col("n"), "sources": F.col("members")}
+    seen = []
+
+    def quota(patterns):
+        seen.extend(patterns)
+        return {"a": 700, "b": 100}
+
+    plan = mixing.plan_mix(df, quota=quota, **how)
+    flows = mixing.route(seen, {"a": 700, "b": 100}, 3)
+    taken = Counter()
+    for r in mixing.take(df, plan, **how).collect():
+        assert r["mix_taken"] % r["n"] == 0 and r["mix_taken"] <= 3 * r["n"]
+        taken[tuple(r["members"])] += r["mix_taken"]
+    assert sum(flows) == 800 and {m for m, _ in seen} == {("a",), ("b",), ("a", "b")}
+    assert all(0 <= f - taken[m] < 4 for f, (m, _) in zip(flows, seen, strict=True))
+
+
+@pytest.mark.parametrize("few", [256, 1])
+def test_mixing_without_ids(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    rows = [(None, "ten words are in this text and so they count")] * 50 + [(7, "five words are in this")] * 40 + [(i, "one two three four five six") for i in range(100, 150)]
+    df = spark.createDataFrame([(i, t, "s" if i is None or i == 7 else "t", 1, 2, 3) for i, t in rows], "doc_id long, text string, source string, passes int, cuts int, mix_size int")
+    out, targets, (size, taken) = queries.mixed(df)
+    got = out.collect()
+    assert out.columns == [*df.columns, size, taken] and {r["mix_size"] for r in got} == {3} and len(got) == 140
+    for s, (_, target) in targets.items():
+        assert 0 <= round(target) - sum(r[taken] for r in got if r["source"] == s) < 10
+
+
 def test_mixing(spark, docs, empty):
-    out = queries.mixed(docs)
-    rows, targets = out[0].collect(), out[1]
+    rows, targets, _ = queries.mixed(docs)
+    rows = rows.collect()
     again = Counter((r["doc_id"], r["mix_taken"]) for r in queries.mixed(docs.repartition(7))[0].collect())
     assert Counter((r["doc_id"], r["mix_taken"]) for r in rows) == again
     size, taken, least = Counter(), Counter(), defaultdict(list)
@@ -410,14 +554,16 @@ def test_pii(spark):
 
 def test_pii_added_and_redacted(spark):
     a, b = luhn_number("411111111111111"), luhn_number("550000000000000")
-    rows = [("two cards " + a + " " + b,), ("pay to iban GB82WEST12345698765432 now",), ("GB82WEST12345698765433",), (None,), ("plain 🙂",), ("mail a@b.com and 🙂 +1 (555) 555-7713!",)]
+    rows = [("card numbers " + a + " " + b,), ("numbers " + a + " " + b,), ("GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33",), ("pay to iban GB82WEST12345698765432 now",), ("GB82WEST12345698765433",), (None,), ("plain 🙂",), ("mail a@b.com and 🙂 +1 (555) 555-7713!",)]
     df = pii.find_pii(spark.createDataFrame(rows, "text string").withColumn("i", F.monotonically_increasing_id()))
     got = [(pii_, t) for pii_, t, _ in sorted(((tuple((s["kind"], s["base"]) for s in r["pii_spans"]), r["text"], r["i"]) for r in pii.redact(df).collect()), key=lambda x: x[2])]
     assert got == [
-        ((("card", False), ("card", False)), "two cards [CARD] [CARD]"),
+        ((("card", False), ("card", False)), "card numbers [CARD] [CARD]"),
+        ((), "numbers " + a + " " + b),
+        ((("iban", False),), "[IBAN] and GB82 WEST 1234 5698 7654 33"),
         ((("iban", False),), "pay to iban [IBAN] now"),
         ((), "GB82WEST12345698765433"),
-        ((), None) if got[3][1] is None else ((), ""),
+        ((), None) if got[5][1] is None else ((), ""),
         ((), "plain 🙂"),
         ((("email", True), ("phone", True)), "mail [EMAIL] and 🙂 [PHONE]!"),
     ]
@@ -434,21 +580,23 @@ def test_pii_is_native(spark, docs):
 @pytest.mark.parametrize("k", [1, 3, 20])
 def test_topk(spark, monkeypatch, k):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(topk, "ROW_BLOCK", 5)
+    monkeypatch.setattr(topk, "TILE_ROWS", 5)
+    monkeypatch.setattr(topk, "RESIDENT", 11)
     rng = random.Random(k)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.1, 0.9, 3.0]) for _ in range(rng.choice([3, 4]))]) for i in range(40)]
-    odd = [(100, None), (120, []), (140, [1.0, None]), (160, [float("nan")]), (180, [float("inf")]), (None, [1.0])]
+    rows.append((120, []))
+    odd = [(100, None), (140, [1.0, None]), (160, [float("nan")]), (180, [float("inf")]), (None, [1.0])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").repartition(3)
     ints = topk.integer_vectors(df, "vec_id", "embedding", 64)
     got = defaultdict(list)
     for r in topk.search(ints.filter("id % 5 = 0"), ints, k).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     q = {i: [int(np.floor(64 * np.float64(np.float32(x)))) for x in v] for i, v in rows}
-    for i in range(0, 40, 5):
+    for i in [*range(0, 40, 5), 120]:
         best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=False)), j) for j in q if j != i)[:k]
         assert sorted(got.pop(i)) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert not got
-    assert topk.search(ints.limit(0), ints, k).count() == 0
+    assert topk.search(ints.limit(0), ints, k).count() == 0 and topk.search(ints, ints.limit(0), k).count() == 0
 
 
 def test_topk_repeated_rows(spark):
