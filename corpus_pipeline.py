@@ -3,8 +3,8 @@
 Every stage takes the documents that its predecessor kept and returns documents (the last:
 the packed pieces). Columns of the input other than those named here pass through.
 
-Rows without a doc_id: the classifier and PII treat them like others; the join on shingles
-cannot name them in a group and keeps them.
+Rows without a doc_id are treated like others by all stages: where a whole group of linked documents has none, one of its rows
+stays. Rows that share a doc_id but not their text are documents of their own.
 """
 
 from __future__ import annotations
@@ -13,29 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import jaccard, pii, quality
-from citeloom.llm.common import table, write_shared
+from citeloom.llm.common import fresh, table, write_shared
 from citeloom.llm.queries import QUALITY_FROM, mixed, packed
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    model, _ = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, model, QUALITY_FROM)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), QUALITY_FROM)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect, the one with the least id stays; of repeated ids, one row."""
-    groups = jaccard.join(docs, "doc_id", "text", 5, 80)
-    stay = groups.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    """Of each group of documents that links connect, the one with the least id stays; of repeated rows, one."""
+    return jaccard.one_of_each(docs, "doc_id", "text", 5, 80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to the name of its kind; n_chars follows. Other texts stay as they are."""
-    spans = "pii_spans"
-    while spans in docs.columns:
-        spans += "_"
+    (spans,) = fresh(docs, "pii_spans")
     found = pii.find_pii(docs, "text", spans=spans)
     hit = F.size(spans) > 0
     out = pii.redact(found, "text", spans)
@@ -44,9 +38,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, each as often as it is taken."""
-    taken, _ = mixed(docs)
-    times = F.when(F.col("mix_size") > 0, F.col("mix_taken") / F.col("mix_size")).otherwise(F.lit(0)).cast("int")
-    return taken.filter(F.col("mix_taken") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+    taken, _, (size, words) = mixed(docs)
+    (copy,) = fresh(taken, "mix_copy")
+    times = F.when(F.col(size) > 0, F.col(words) / F.col(size)).otherwise(F.lit(0)).cast("int")
+    return taken.filter(F.col(words) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
