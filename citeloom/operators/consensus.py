@@ -17,28 +17,48 @@ def loose(c: Column) -> Column:
     return F.when(c.rlike(r"^\s*[+-]?[0-9]+(\.[0-9]+)?\s*$") & number.isNotNull(), number.cast("string")).otherwise(c)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def tally(votes: Column, confidence: float = CONFIDENCE) -> Column:
+    """struct<values, beliefs>: the distinct values of an array in order of first use, by loose equality, and the belief in each after all votes.
+
+    Nulls are no votes. Votes become places among the values once; beliefs are then folded over places: multiplied,
+    normalised and rounded to two places at every vote.
+    """
+    given = F.filter(votes, lambda v: v.isNotNull())
+
+    def fold(x: Column) -> Column:
+        n = F.size(x["names"])
+        index = F.sequence(F.lit(1), n)
+        other = F.when(n > 1, (1 - confidence) / (n - 1)).otherwise(F.lit(0.0))
+
+        def update(acc: Column, at: Column) -> Column:
+            share = lambda i: F.when(i == at, F.lit(confidence)).otherwise(other)
+            product = F.when(F.size(acc) == 0, F.transform(index, share)).otherwise(F.zip_with(acc, index, lambda p, i: p * share(i)))
+            normed = lambda z: let(F.aggregate(z, F.lit(0.0), lambda t, p: t + p), lambda total: F.transform(z, lambda p: F.round(p / total, 2)))
+            return let(product, lambda z: F.when(F.size(acc) == 0, z).otherwise(normed(z)))
+
+        values = F.transform(x["names"], lambda k: F.element_at(x["given"], F.array_position(x["keys"], k).cast("int")))
+        places = F.transform(x["keys"], lambda k: F.array_position(x["names"], k).cast("int"))
+        beliefs = F.when(n > 0, F.aggregate(places, F.expr("cast(array() as array<double>)"), update)).otherwise(F.expr("cast(array() as array<double>)"))
+        return F.struct(values.alias("values"), beliefs.alias("beliefs"))
+
+    keyed = let(given, lambda g: F.struct(g.alias("given"), F.transform(g, loose).alias("keys")))
+    named = let(keyed, lambda x: F.struct(x["given"].alias("given"), x["keys"].alias("keys"), F.array_distinct(x["keys"]).alias("names")))
+    return let(named, fold)
+
+
 def unique(votes: Column) -> Column:
     """The distinct values of an array in order of first use, by loose equality; nulls are no votes."""
-    return F.aggregate(
-        F.filter(votes, lambda v: v.isNotNull()),
-        F.expr("cast(array() as array<string>)"),
-        lambda acc, v: F.when(F.exists(acc, lambda u: loose(u) == loose(v)), acc).otherwise(F.concat(acc, F.array(v))),
-    )
+    return tally(votes)["values"]
 
 
 def belief(votes: Column, confidence: float = CONFIDENCE) -> Column:
-    """The belief in each of unique(votes) after all votes: multiplied, normalised and rounded to two places at every step."""
-    values = unique(votes)
-    n = F.size(values)
-    other = F.when(n > 1, (1 - confidence) / (n - 1)).otherwise(F.lit(0.0))
-
-    def update(acc: Column, v: Column) -> Column:
-        own = F.transform(values, lambda u: F.when(loose(u) == loose(v), F.lit(confidence)).otherwise(other))
-        product = F.zip_with(acc, own, lambda x, y: x * y)
-        total = F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
-        return F.when(F.size(acc) == 0, own).otherwise(F.transform(product, lambda x: F.round(x / total, 2)))
-
-    return F.aggregate(F.filter(votes, lambda v: v.isNotNull()), F.expr("cast(array() as array<double>)"), update)
+    """The belief in each of unique(votes) after all votes."""
+    return tally(votes, confidence)["beliefs"]
 
 
 def winner(values: Column, beliefs: Column) -> Column:
@@ -50,7 +70,7 @@ def vote(rows: DataFrame, key: str, value: str, order: list[str], confidence: fl
     """key, winner, belief (its own, to two places), n_values, n_votes. rows are taken in order, which must be total."""
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("_vote")))).alias("_rows"))
     votes = lists.select(key, F.transform("_rows", lambda r: r["_vote"]).alias("votes"))
-    found = votes.withColumn("values", unique(F.col("votes"))).withColumn("beliefs", belief(F.col("votes"), confidence))
+    found = votes.withColumn("_told", tally(F.col("votes"), confidence)).select(key, "votes", "_told.*")
     return found.select(key, winner(F.col("values"), F.col("beliefs")).alias("winner"), F.array_max("beliefs").alias("belief"), F.size("values").alias("n_values"), F.size(F.filter("votes", lambda v: v.isNotNull())).alias("n_votes"))
 
 
@@ -97,7 +117,7 @@ def consensus(works: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     rows = prepared(works)
     lists = rows.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("_id", *FIELDS, "_citers"))).alias("rows"))
     votes = lists.select("cluster", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), _field("rows", f).alias("votes")) for f in FIELDS))))
-    told = votes.withColumn("values", unique(F.col("votes"))).withColumn("beliefs", belief(F.col("votes"), confidence))
+    told = votes.withColumn("_told", tally(F.col("votes"), confidence)).select("cluster", "field", "_told.*")
     told = told.select("cluster", "field", winner(F.col("values"), F.col("beliefs")).alias("won"), F.size("values").alias("n"), "beliefs")
     # one row for each field, back to one for each cluster
     won = {f: F.max(F.when(F.col("field") == f, F.col("won"))).alias(f) for f in FIELDS}

@@ -2,6 +2,41 @@
 
 from __future__ import annotations
 
+from citeloom.functions import text
+
+
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def clean_title(c: str) -> str:
+    """SQL of text.clean_title for texts with the entities of text.ENTITIES only."""
+    c = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    for entity, plain in text.ENTITIES.items():
+        c = f"replace({c}, '{entity}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    return rf"regexp_replace(regexp_replace({c}, '\.(\p{{L}})', '. \1', 'g'), '{SPACES}', ' ', 'g')"
+
+
+def unaccent(c: str) -> str:
+    c = f"translate({c}, '{text.ACCENTED}', '{text.PLAIN}')"
+    for letter, plain in text.LIGATURES.items():
+        c = f"replace({c}, '{letter}', '{plain}')"
+    return c
+
+
+#: White space, as DuckDB's patterns have it.
+SPACES = r"[\x0C\n\r\t\x{00A0} \x{1680}\x{180E}\x{2028}\x{2029}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+"
+STOPS = _in(text.NAME_STOPS)
+
+
+def alignment(a: str, b: str) -> str:
+    """SQL of similarity.alignment_score: rows of the matrix are folded one by one, the best score so far in front."""
+    cell = f"greatest(0, acc[y[1] + 1] + CASE WHEN upper({a}[x[1]]) = upper({b}[y[1]]) THEN 3 ELSE -1 END, acc[y[1] + 2] - 3, r[len(r)] - 3)"
+    row = f"list_reduce(list_prepend([acc[1], 0], list_transform(range(1, length({b}) + 1), lambda j: [j::int])), lambda r, y: list_append(r, {cell}))"
+    fold = f"list_reduce(list_prepend(list_transform(range(length({b}) + 2), lambda z: 0), list_transform(range(1, length({a}) + 1), lambda i: [i::int])), lambda acc, x: list_transform(range(1, length({b}) + 3), lambda k: CASE WHEN k = 1 THEN list_max({row}) ELSE ({row})[k] END))"
+    return f"CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) > 0 AND length({b}) > 0 THEN ({fold})[1]::double / (3 * least(length({a}), length({b}))) END"
+
+
 #: Relations that the queries derive (see relations).
 WO = """wo AS (
   SELECT 'urn:o:' || lpad(o_orderkey::varchar, 12, '0') AS _id, CASE o_orderstatus WHEN 'F' THEN 'article-journal' WHEN 'O' THEN 'book' ELSE 'chapter' END AS type,
@@ -11,20 +46,20 @@ WO = """wo AS (
   FROM orders JOIN customer ON o_custkey = c_custkey
 )"""
 WD = """wd AS (
-  SELECT 'doc:' || lpad(doc_id::varchar, 12, '0') AS _id, substr(text, 1, 120) AS title, source, lang, n_chars, md5(text) AS doi,
+  SELECT 'doc:' || lpad(doc_id::varchar, 12, '0') AS _id, text AS title, source, lang, n_chars, md5(text) AS doi,
          min('doc:' || lpad(doc_id::varchar, 12, '0')) OVER (PARTITION BY md5(text)) AS cluster
   FROM documents
 )"""
 #: Part names hold nothing that normalisation changes but case, and words in capitals (types), which it splits.
-NK = r"""raw AS (
+NK = rf"""raw AS (
   SELECT p_partkey AS id, p_name || ' ' || p_type AS raw, p_brand AS issn FROM part
 ), nk AS (
   SELECT id, raw, issn, trim(lower(regexp_replace(CASE WHEN regexp_full_match(raw, '[A-Z\s"]+') THEN raw ELSE
-         array_to_string(list_transform(string_split(raw, ' '), lambda w: CASE WHEN regexp_full_match(w, '[A-Z]{2,}') THEN array_to_string(string_split(w, ''), ' ') ELSE w END), ' ') END, '[^a-zA-Z0-9 ]', '', 'g'))) AS normalized
+         array_to_string(list_transform(string_split(raw, ' '), lambda w: CASE WHEN regexp_full_match(w, '[A-Z]{{2,}}') THEN array_to_string(string_split(w, ''), ' ') ELSE w END), ' ') END, '[^a-zA-Z0-9 ]', '', 'g'))) AS normalized
   FROM raw
 ), nt AS (
   SELECT *, list_filter(string_split(normalized, ' '), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+')
-         AND w NOT IN ('and','at','from','in','of','on','the','aus','dem','der','das','des','die','fur','und','zu','zur','de','du','et','la','le','les','del','y','della','di','van','da','do','e','v')) AS t
+         AND w NOT IN ({STOPS})) AS t
   FROM nk
 ), names AS (
   SELECT id, raw, issn, normalized, array_to_string(t, ' ') AS tokens, '' AS series, array_to_string(list_transform(t, lambda w: w[:3]), ' ') AS key_a,
@@ -34,6 +69,13 @@ NK = r"""raw AS (
 )"""
 KC = NK + ", kc AS (SELECT *, min(id) OVER (PARTITION BY key_a) AS cluster_id FROM names)"
 
+#: Pairs of works from orders in a block, and whether their fields are alike; titles and containers, of which there are a few, are aligned once.
+COMPARED = rf"""{WO}, v AS (SELECT DISTINCT unnest([title, container_title]) AS raw FROM wo), n AS (SELECT raw, lower(regexp_replace(raw, '[^a-zA-Z0-9 ]', '', 'g')) AS v FROM v),
+ al AS (SELECT x.raw AS one, y.raw AS two, ({alignment('x.v', 'y.v')} > 0.8)::int AS alike FROM n x, n y),
+ q AS (SELECT p._id AS a, q._id AS b, p.title AS ta, q.title AS tb, p.container_title AS ca, q.container_title AS cb, (p.issue = q.issue)::int AS i, (p.last = q.last)::int AS g, (p.m = q.m)::int AS m, (p.d = q.d)::int AS d
+   FROM wo p JOIN wo q ON p.y = q.y AND p.volume = q.volume AND p.first = q.first AND p._id < q._id),
+ p AS (SELECT q.*, x.alike AS t, y.alike AS c FROM q JOIN al x ON x.one = ta AND x.two = tb JOIN al y ON y.one = ca AND y.two = cb)"""
+
 ORACLES: dict[str, str] = {
     "stats_works_clusters": f"WITH {WD} SELECT 'works' AS name, count(*) AS n FROM wd UNION ALL SELECT 'clusters', count(*) FROM wd WHERE _id = cluster",
     "doi_index": f"WITH {WD} SELECT doi, count(*) AS n FROM wd WHERE doi IS NOT NULL GROUP BY 1",
@@ -74,14 +116,10 @@ ORACLES: dict[str, str] = {
  both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  reach AS (SELECT _id AS s, _id AS t FROM wo UNION SELECT reach.s, both_.b FROM reach JOIN both_ ON reach.t = both_.a)
  SELECT s AS _id, min(t) AS cluster FROM reach GROUP BY 1""",
-    "feature_vectors_exact": f"""WITH {WO}, p AS (SELECT p._id AS a, q._id AS b, p.title = q.title AS t, p.container_title = q.container_title AS c, p.issue = q.issue AS i, p.last = q.last AS g, p.m = q.m AS m, p.d = q.d AS d
-   FROM wo p JOIN wo q ON p.y = q.y AND p.volume = q.volume AND p.first = q.first AND p._id < q._id)
- SELECT a, b, concat_ws(',', '1,0', t::int, 1 - t::int, c::int, 1 - c::int, '1,0', i::int, 1 - i::int, g::int, 1 - g::int, '1,0', m::int, 1 - m::int, d::int, 1 - d::int, '0,0') AS features FROM p""",
-    "match_decisions": f"""WITH {WO}, p AS (SELECT p._id AS a, q._id AS b, (p.title = q.title)::int AS t, (p.container_title = q.container_title)::int AS c, (p.issue = q.issue)::int AS i, (p.last = q.last)::int AS g
-   FROM wo p JOIN wo q ON p.y = q.y AND p.volume = q.volume AND p.first = q.first AND p._id < q._id)
- SELECT a, b, (2 + t + c + i + g)::int AS score, (4 - t - c - i - g)::int AS diff, 2 + t + c + i + g >= 3 AND t + c + i + g = 4 AS match FROM p""",
+    "feature_vectors_exact": f"""WITH {COMPARED} SELECT a, b, concat_ws(',', '1,0', t, 1 - t, c, 1 - c, '1,0', i, 1 - i, g, 1 - g, '1,0', m, 1 - m, d, 1 - d, '0,0') AS features FROM p""",
+    "match_decisions": f"""WITH {COMPARED} SELECT a, b, (2 + t + c + i + g)::int AS score, (4 - t - c - i - g)::int AS diff, 2 + t + c + i + g >= 3 AND t + c + i + g = 4 AS match FROM p""",
     "levenshtein_feature": """WITH p AS (SELECT DISTINCT p_name AS n FROM part)
- SELECT x.n AS a, y.n AS b, levenshtein(lower(x.n), lower(y.n))::int AS distance, round(1 - levenshtein(lower(x.n), lower(y.n)) / greatest(length(x.n), length(y.n)), 4) AS similarity
+ SELECT x.n AS a, y.n AS b, levenshtein(lower(x.n), lower(y.n))::int AS distance, round(1 - levenshtein(lower(x.n), lower(y.n)) / greatest(length(x.n), length(y.n)), 4) AS similarity, CASE WHEN 1 - levenshtein(lower(x.n), lower(y.n)) / greatest(length(x.n), length(y.n)) > 0.9 THEN '1,0' ELSE '0,1' END AS bits
  FROM p x JOIN p y ON string_split(x.n, ' ')[1] = string_split(y.n, ' ')[1] AND x.n < y.n""",
     "comparison_log_last5": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
  SELECT conv_id, string_agg(turn::varchar || ':' || role, ',' ORDER BY turn) AS log FROM r WHERE k <= 5 GROUP BY 1""",
@@ -105,9 +143,8 @@ ORACLES: dict[str, str] = {
     "title_keys": f"WITH {NK} SELECT id, raw, normalized, tokens, series, key_a, key_b, key_c, key_d FROM names",
     "series_keys": """SELECT doc_id AS id, 'annals ' || source || ' museum' AS tokens, 'n s; ser ' || (doc_id % 12)::varchar AS series, 'ann ' || source[:3] || ' mus' AS key_a,
  'ann ' || source[:3] || ' mus' AS key_c, 'a' || source[1] || 'm' AS key_d FROM documents""",
-    "tokens_normalised": r"""WITH d AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents), f AS (SELECT * FROM d WHERE regexp_full_match(t, '(?s)[\x00-\x7F]+') AND NOT regexp_matches(t, '[<>&]')),
- n AS (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\.([A-Za-z])', '. \1', 'g'), '[\x0C\n\r\t ]+', ' ', 'g'), '^\s+', ''), '\s+$', ''), '[^a-zA-Z0-9 ]', '', 'g')) AS title FROM f)
- SELECT doc_id, title, array_to_string(list_filter(string_split(title, ' '), lambda w: w <> '' AND w NOT IN ('and','at','from','in','of','on','the','aus','dem','der','das','des','die','fur','und','zu','zur','de','du','et','la','le','les','del','y','della','di','van','da','do','e','v')), ' ') AS tokens FROM n""",
+    "tokens_normalised": rf"""WITH n AS (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace({unaccent(clean_title('text'))}, '^\s+', ''), '\s+$', ''), '[^a-zA-Z0-9 ]', '', 'g')) AS title FROM documents)
+ SELECT doc_id, title, array_to_string(list_filter(string_split(title, ' '), lambda w: w <> '' AND w NOT IN ({STOPS})), ' ') AS tokens FROM n""",
     "slugs": r"""WITH r AS (SELECT DISTINCT p_name || ' ' || p_type AS raw FROM part), s AS (SELECT raw, trim(regexp_replace(lower(raw), '[^a-z0-9]+', '-', 'g'), '-') AS slug, trim(regexp_replace(lower(repeat(raw, 5)), '[^a-z0-9]+', '-', 'g'), '-') AS l FROM r)
  SELECT raw, CASE WHEN length(slug) > 80 THEN slug[:80] || '-' || md5(raw)[:6] ELSE slug END AS slug, CASE WHEN length(l) > 80 THEN l[:80] || '-' || md5(repeat(raw, 5))[:6] ELSE l END AS long_slug FROM s""",
     "issn_must_link": f"""WITH RECURSIVE {KC}, c AS (SELECT DISTINCT issn, cluster_id FROM kc), h AS (SELECT *, min(cluster_id) OVER (PARTITION BY issn) AS hub FROM c),
@@ -118,7 +155,7 @@ ORACLES: dict[str, str] = {
     "issn_purity": f"WITH {KC}, i AS (SELECT issn, count(*) AS n, count(DISTINCT cluster_id) AS k FROM kc GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS issns, count(*) FILTER (k = 1) AS pure FROM i",
     "over_merge": f"""WITH {KC}, i AS (SELECT issn, count(*) AS n, count(DISTINCT cluster_id) AS k FROM kc GROUP BY 1 HAVING count(*) > 1), o AS (SELECT cluster_id FROM kc GROUP BY 1 HAVING count(DISTINCT issn) > 1)
  SELECT count(*) AS journals, count(*) FILTER (k = 1) AS pure, (SELECT count(*) FROM o) AS over_merged FROM i""",
-    "journal_groups": f"""WITH RECURSIVE {NK}, s AS (SELECT id, issn, normalized FROM names WHERE id % 50 < 3), e AS (SELECT x.issn AS a, y.issn AS b FROM s x JOIN s y ON x.normalized = y.normalized),
+    "journal_groups": f"""WITH RECURSIVE {NK}, s AS (SELECT id, issn, normalized FROM names), e AS (SELECT DISTINCT x.issn AS a, y.issn AS b FROM s x JOIN s y ON x.normalized = y.normalized),
  reach AS (SELECT DISTINCT issn AS s, issn AS t FROM s UNION SELECT reach.s, e.b FROM reach JOIN e ON reach.t = e.a), m AS (SELECT s, min(t) AS journal FROM reach GROUP BY 1)
  SELECT id, journal FROM s JOIN m ON m.s = s.issn""",
     "cluster_spellings": f"WITH {KC} SELECT cluster_id, raw, count(*) AS n, max(issn) AS issn FROM kc GROUP BY 1, 2",
@@ -136,7 +173,7 @@ ORACLES: dict[str, str] = {
     "variant_resolution": f"""WITH {KC}, v AS (SELECT cluster_id, raw, count(*) AS n FROM kc GROUP BY 1, 2),
  b AS (SELECT cluster_id, name, 'container:' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM (SELECT cluster_id, first(raw ORDER BY n DESC, length(raw) DESC, raw) AS name FROM v GROUP BY 1)),
  k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY cluster_id) AS k FROM b)
- SELECT DISTINCT kc.raw AS variant, CASE WHEN k = 1 THEN base ELSE base || '-' || k::varchar END AS _id, name, false AS junk FROM kc JOIN k ON k.cluster_id = kc.cluster_id WHERE kc.id % 97 = 0""",
+ SELECT DISTINCT kc.raw AS variant, CASE WHEN k = 1 THEN base ELSE base || '-' || k::varchar END AS _id, name, false AS junk FROM kc JOIN k ON k.cluster_id = kc.cluster_id""",
     "title_search": f"WITH {WD}, t AS (SELECT _id, string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}]+') AS w FROM wd) SELECT _id FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'of')",
     "search_clusters": f"WITH {WD}, t AS (SELECT *, string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}]+') AS w FROM wd) SELECT cluster, min(_id) AS _id, count(*) AS cluster_size FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'of') GROUP BY 1",
     "export_ris": f"""WITH {WO} SELECT _id, 'TY  - ' || CASE type WHEN 'article-journal' THEN 'JOUR' WHEN 'book' THEN 'BOOK' ELSE 'CHAP' END || chr(13) || chr(10) || concat_ws(chr(13) || chr(10),
@@ -153,8 +190,8 @@ ORACLES: dict[str, str] = {
  'rft.au=' || replace(replace(given || ' ' || family, ' ', '+'), '#', '%23'), 'rft.volume=' || volume, 'rft.issue=' || issue, 'rft.spage=' || first, 'rft.epage=' || last, 'rft.date=' || y) AS record FROM wo""",
     "export_tsv": f"""WITH {WO} SELECT _id, concat_ws(chr(9), _id, type, title, given || ' ' || family, container_title, '', '', volume, issue, first, last, y, '', '', '', '') AS record FROM wo""",
     "citation_strings": f"WITH {WO} SELECT _id, title || '. ' || container_title || ' ' || volume || ': ' || first || '-' || last || '. ' || y AS citation FROM wo",
-    "export_order": f"WITH {WO} SELECT _id, row_number() OVER (ORDER BY y, volume, first, _id)::int AS place FROM wo WHERE y = 1997 AND m < 4",
-    "display_sort": f"WITH {WO} SELECT _id, row_number() OVER (ORDER BY volume, first, _id)::int AS place FROM wo WHERE y = 1997 AND m < 4",
+    "export_order": f"WITH {WO} SELECT _id, row_number() OVER (ORDER BY y, volume, first, _id)::int AS place FROM wo",
+    "display_sort": f"WITH {WO} SELECT _id, row_number() OVER (ORDER BY volume, first, _id)::int AS place FROM wo",
     "page_coverage": f"""WITH {WO}, r AS (SELECT _id, first, last, min(first) OVER w AS lo, max(last) OVER w AS hi, count(*) OVER w AS articles FROM wo WINDOW w AS (PARTITION BY y, volume))
  SELECT _id, first, last, lo, hi, articles, floor(round((first - least(1, lo)) * 100 / greatest(hi - least(1, lo), 1), 2))::bigint AS "left", floor(round((last - first) * 100 / greatest(hi - least(1, lo), 1), 2))::bigint AS width FROM r""",
     "page_gaps": f"""WITH {WO}, r AS (SELECT y AS year, volume::varchar AS volume, first, coalesce(max(last) OVER (PARTITION BY y, volume ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM wo)
@@ -173,14 +210,17 @@ ORACLES: dict[str, str] = {
     "coverage_status": "SELECT CASE WHEN quality = 1 THEN 'in' WHEN quality = 0 THEN 'gap' ELSE 'unk' END AS status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "coverage_reconcile": f"""WITH {WO}, c AS (SELECT title || '. ' || container_title || ' ' || volume || ': ' || first || '-' || last || '. ' || y AS q FROM wo)
  SELECT (length(q) % 3 = 0)::int AS matched, count(*) AS n, sum(length(q))::bigint AS chars FROM c GROUP BY 1""",
-    "clean_text": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\.(\p{L})', '. \1', 'g'), '[\x0C\n\r\t\x{00A0} \x{1680}\x{180E}\x{2028}\x{2029}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[<>&]')""",
+    "clean_text": f"SELECT doc_id, md5({clean_title('text')}) AS digest FROM documents",
     "bag_of_words": "SELECT p_partkey, array_to_string(list_sort(string_split(p_type || ' ' || p_name, ' ')), ' ') AS bag FROM part",
     "upsert_latest": "SELECT user_id AS _id, arg_max(event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || lpad(event_id::varchar, 12, '0')) AS event_id FROM events GROUP BY 1",
     "id_assignment": """WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"_id":"w' || doc_id || '"}' WHEN 1 THEN '{"id":"' || doc_id || '"}' WHEN 2 THEN '{"id":"pub:' || doc_id || '"}' ELSE '{"id":"x' || doc_id || '"}' END AS text FROM documents)
  SELECT text, CASE doc_id % 4 WHEN 0 THEN 'w' || doc_id WHEN 3 THEN 'x' || doc_id ELSE md5(text) END AS _id FROM r""",
     "prefix_agency": "SELECT s_suppkey, s_nationkey::varchar AS prefix, n_name AS agency FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 5 <> 0",
     "key_range": f"WITH {WO} SELECT _id, y AS year, first::varchar AS spage FROM wo WHERE container_title = 'BUILDING' AND y BETWEEN 1996 AND 1997",
-    "flagship": f"WITH {WD} SELECT 'works' AS name, count(*) AS n FROM wd UNION ALL SELECT 'clusters', count(DISTINCT (doi, source, lang)) FROM wd",
+    "flagship": f"""WITH RECURSIVE {WD}, v AS (SELECT DISTINCT source AS v FROM wd), al AS (SELECT x.v AS one, y.v AS two, {alignment('x.v', 'y.v')} > 0.8 AS alike FROM v x, v y),
+ e AS (SELECT x._id AS a, y._id AS b FROM wd x JOIN wd y ON x.doi = y.doi AND x._id <> y._id AND x.lang = y.lang JOIN al ON one = x.source AND two = y.source WHERE alike),
+ reach AS (SELECT _id AS s, _id AS t FROM wd UNION SELECT reach.s, e.b FROM reach JOIN e ON reach.t = e.a), c AS (SELECT s, min(t) AS least FROM reach GROUP BY 1)
+ SELECT 'works' AS name, count(*) AS n FROM wd UNION ALL SELECT 'clusters', count(*) FROM c WHERE s = least""",
 }
 
 #: The fields of works from orders as votes, in the order of their records.

@@ -115,7 +115,9 @@ def levenshtein_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("a"), F.col("b")
     first = lambda c: F.split(c, " ")[0]
     pairs = p.select(F.col("p_name").alias("a"), first("p_name").alias("k")).join(p.select(F.col("p_name").alias("b"), first("p_name").alias("k")), "k").filter("a < b")
-    return pairs.select("a", "b", F.levenshtein(text.normalise_title(x), text.normalise_title(y)).alias("distance"), F.round(similarity.levenshtein_similarity(text.normalise_title(x), text.normalise_title(y)), 4).alias("similarity"))
+    one, two = text.normalise_title(x), text.normalise_title(y)
+    bits = F.array_join(F.transform(linkage.edit_distance(one, two), lambda b: b.cast("string")), ",")
+    return pairs.select("a", "b", F.levenshtein(one, two).alias("distance"), F.round(similarity.levenshtein_similarity(one, two), 4).alias("similarity"), bits.alias("bits"))
 
 
 @query
