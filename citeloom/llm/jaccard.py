@@ -44,7 +44,7 @@ from citeloom.llm.hashing import BASE, Prefixes, mixed
 from citeloom.operators.components import connected_components
 
 CROWD, HOT, CELL, MEMBERS = 8, 4096, 2048, 1024
-#: At most so many frequent shingles are told apart; they are sent to all tasks (16 bytes each).
+#: At most so many frequent shingles are told apart, the commonest; they are sent to all tasks (16 bytes each). What is linked does not depend on it.
 FREQUENT = 1 << 17
 #: A shingle is offered as frequent by a part of a batch (OFFERED bytes of text) that has it in so many documents.
 OFFER, OFFERED = 2, 8 << 20
@@ -494,13 +494,26 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, order: Or
     return summed.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
-def texts_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """s, packed: a text of each class of the pairs, as a written table."""
+def frequent_shingles(offered: DataFrame) -> Order:
+    """The global order. offered: s, docs. The least count that leaves at most FREQUENT shingles is found on a histogram, in steps of a 16th of a power of two."""
+    counts = write_shared(offered.groupBy("s").agg(F.sum("docs").alias("docs")).withColumn("step", F.floor(F.log2("docs") * 16).cast("int")), "offered", free=False)
+    least, total = 1 << 30, 0
+    for r in counts.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # at most 16 x 64 rows
+        if (total := total + r["n"]) > FREQUENT:
+            break
+        least = r["step"]
+    rows = sorted((r["docs"], r["s"]) for r in counts.filter(F.col("step") >= least).collect())
+    discard(counts)
+    return Order(np.array([s for _, s in rows], np.int64).view(np.uint64), np.array([n for n, _ in rows], np.int64))
+
+
+def texts_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame, many: bool) -> DataFrame:
+    """s, packed: a text of each class of the pairs, as a written table. many: the classes grow with the rows, so texts and places are shuffled at every size."""
     place = ["row", "missing", "mark"]
     names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    # As a table of known size: where it is small, Spark sends it to the texts, and they need not be shuffled.
+    # As a table of known size: a small one is sent to the texts, and they need not be shuffled.
     needed = write_shared(classes.join(names, "name").select(*place, F.col("name").alias("s")), "needed", free=False)
-    found = packed_texts(rows).join(needed, place).dropDuplicates(place)
+    found = packed_texts(rows).join(needed.hint("merge") if many else needed, place).dropDuplicates(place)
     return write_shared(found.select("s", "packed"), "texts", codec="none")
 
 
@@ -514,8 +527,7 @@ def _grouped(df: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[
     """row, missing, mark, s, t, size of every row; and of every class s, t, size, one (the first row's identity), least, c (the name of its component)."""
     rows = df.select(*(c.alias(name) for name, c in identity(key, text).items()), text_of(F.col(text)).alias("text"))
     described = write_shared(describe_sets(rows, n), "sets")
-    offered = described.filter("kind = 1").groupBy("s").agg(F.sum("t").alias("docs")).orderBy(F.desc("docs"), "s").limit(FREQUENT).collect()
-    order = Order(np.array([r["s"] for r in reversed(offered)], np.int64).view(np.uint64), np.array([r["docs"] for r in reversed(offered)], np.int64))
+    order = frequent_shingles(described.filter("kind = 1").select("s", F.col("t").alias("docs")))
 
     found = described.filter("kind = 0").select("row", "missing", "mark", "s", "t", "size")
     one = [F.min(F.struct("missing", "row", "mark")).alias("one"), F.min(F.when(~F.col("missing"), F.col("row"))).alias("least"), F.first("bits").alias("bits"), F.first("brief").alias("brief")]
@@ -531,7 +543,7 @@ def _grouped(df: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[
     crowd = members(met, 1)
     leaders = meet(members(met, 2).withColumn("salt", F.lit(0)), percent)
     pairs = write_shared(likely(met.unionByName(leaders).filter("kind = 0").select("a", "b").distinct(), classes, percent), "pairs")
-    texts = texts_of(rows, classes, pairs)
+    texts = texts_of(rows, classes, pairs, many=True)
     links = write_shared(verified(pairs, texts, n, percent, order), "links")
     grouped = write_shared(connected_components(links), "components", free=False)
 
@@ -541,7 +553,7 @@ def _grouped(df: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[
     rest = cross(dealt, percent).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     rest = write_shared(likely(rest, classes, percent), "rest")
     if not rest.isEmpty():
-        more_texts = texts_of(rows, classes, rest)
+        more_texts = texts_of(rows, classes, rest, many=False)
         more = verified(rest, more_texts, n, percent, order)
         edges = write_shared(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
         grouped = write_shared(connected_components(edges), "components")
