@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŠŸÐàáâã
 PLAIN = "AAAAAACEEEEIIIINOOOOOOUUUUYSYEaaaaaaceeeeiiiinoooooouuuuyyse"
 #: Ligatures and the like, which become two letters.
 LIGATURES = {"Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "sz", "Þ": "TH", "þ": "th"}
-#: Entities that are decoded; the ampersand last, so that one level is taken off.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#039;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
+#: Named entities of HTML 5, as the standard library has them, and what the references are written like.
+ENTITIES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 #: Stop words of journal names, and of titles.
 NAME_STOPS = "and at from in of on the aus dem der das des die fur und zu zur de du et la le les del y della di van da do e v".split()
 TITLE_STOPS = "and der des die do et fur in of the und".split()
@@ -38,8 +40,25 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]*>", "")
 
 
+def _entity(e: Column) -> Column:
+    """What an entity stands for: by name or by number; itself, where there is no such thing."""
+    names = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in ENTITIES.items())), F.lit("\x02"), F.lit("\x01"))
+    body = F.substr(e, F.lit(2), F.length(e) - 2)
+    number = F.when(body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10)).when(body.startswith("#"), F.substr(body, F.lit(2))).cast("bigint")
+    # Code points that text may hold; through UTF-32, as it has them all.
+    fit = number.isin(9, 10, 13) | number.between(32, 126) | number.between(160, 0xD7FF) | number.between(0xE000, 0xFFFD) | number.between(0x10000, 0x10FFFF)
+    numbered = F.when(fit, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    return F.coalesce(F.when(body.startswith("#"), numbered).otherwise(F.try_element_at(names, body)), e)
+
+
 def decode_entities(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
+    """All entities of HTML 5 with their semicolon, once."""
+
+    def decoded(x: Column) -> Column:
+        parts = F.zip_with(F.split(x, ENTITY, -1), F.regexp_extract_all(x, F.lit(ENTITY), F.lit(0)), lambda gap, e: F.concat(gap, F.when(e.isNull(), F.lit("")).otherwise(_entity(e))))
+        return F.when(x.rlike(ENTITY), F.array_join(parts, "")).otherwise(x)
+
+    return F.transform(F.array(c), decoded)[0]
 
 
 def unaccent(c: Column) -> Column:

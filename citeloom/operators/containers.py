@@ -64,16 +64,16 @@ def representatives(names: DataFrame) -> DataFrame:
     return names.groupBy("cluster_id").agg(*(F.min_by(c, rank).alias(c) for c in names.columns if c != "cluster_id"))
 
 
-def block_union(names: DataFrame, keys: tuple[str, ...] = ("key_b", "key_c"), threshold: float = BLOCK_THRESHOLD, cap: int = BLOCK_CAP, issn: bool = True, lcs=similarity.lcs) -> DataFrame:
+def block_union(names: DataFrame, keys: tuple[str, ...] = ("key_b", "key_c"), threshold: float = BLOCK_THRESHOLD, cap: int | None = BLOCK_CAP, issn: bool = True, lcs=similarity.lcs) -> DataFrame:
     """Merge clusters whose representatives share a key and are alike, or that share an ISSN; cluster_id is the least of those merged.
 
-    Blocks of more than ``cap`` clusters are left out, as in the method: the key tells nothing there.
+    Blocks of more than ``cap`` clusters are left out, as in the method: the key tells nothing there. None compares blocks of any size.
     """
     reps = written(representatives(names).select("cluster_id", "tokens", *keys), "reps")
     edges = None
     for k in keys:
         rows = reps.filter(F.col(k) != "").select(F.col(k).alias("block"), "cluster_id", "tokens")
-        fit = rows.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n").between(2, cap)).select("block")
+        fit = rows.groupBy("block").agg(F.count("*").alias("n")).filter((F.col("n") >= 2) & (F.lit(True) if cap is None else F.col("n") <= cap)).select("block")
         rows = rows.join(fit, "block")
         one, two = rows.select("block", F.col("cluster_id").alias("a"), F.col("tokens").alias("ta")), rows.select("block", F.col("cluster_id").alias("b"), F.col("tokens").alias("tb"))
         pairs = one.join(two, "block").filter("a < b").select("a", "b", "ta", "tb")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +138,22 @@ def csl_json() -> Column:
     return F.to_json(F.struct("_id", "type", "author", "title", F.col("container_title").alias("container-title"), "ISSN", "volume", "issue", "page", "issued", "DOI"))
 
 
+def array_document(records: DataFrame, column: str = "record") -> DataFrame:
+    """value: the lines of JSON arrays, one array for each partition; written as text, every file is one array."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for b in batches:
+            out = []
+            for r in b.column(0).to_pylist():
+                out.append(lead + r)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], names=["value"])
+
+    return records.select(column).filter(F.col(column).isNotNull()).mapInArrow(lines, "value string")
+
+
 def openurl(default_type: str | None = None, skip_empty: bool = False) -> Column:
     """The query string of an OpenURL. default_type: for records without one; skip_empty: leave empty values out."""
     kind = F.coalesce("type", F.lit(default_type)) if default_type else F.col("type")

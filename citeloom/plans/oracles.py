@@ -9,11 +9,16 @@ def _in(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
+def decoded(c: str) -> str:
+    """SQL that takes entities off a text which has only these."""
+    for entity, plain in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&#x27;": "''", "&amp;": "&"}.items():
+        c = f"replace({c}, '{entity}', '{plain}')"
+    return c
+
+
 def clean_title(c: str) -> str:
-    """SQL of text.clean_title for texts with the entities of text.ENTITIES only."""
-    c = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
-    for entity, plain in text.ENTITIES.items():
-        c = f"replace({c}, '{entity}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    """SQL of text.clean_title for texts with no entities but a few."""
+    c = decoded(f"regexp_replace({c}, '<[^>]*>', '', 'g')")
     return rf"regexp_replace(regexp_replace({c}, '\.(\p{{L}})', '. \1', 'g'), '{SPACES}', ' ', 'g')"
 
 
@@ -32,9 +37,21 @@ STOPS = _in(text.NAME_STOPS)
 def alignment(a: str, b: str) -> str:
     """SQL of similarity.alignment_score: rows of the matrix are folded one by one, the best score so far in front."""
     cell = f"greatest(0, acc[y[1] + 1] + CASE WHEN upper({a}[x[1]]) = upper({b}[y[1]]) THEN 3 ELSE -1 END, acc[y[1] + 2] - 3, r[len(r)] - 3)"
-    row = f"list_reduce(list_prepend([acc[1], 0], list_transform(range(1, length({b}) + 1), lambda j: [j::int])), lambda r, y: list_append(r, {cell}))"
-    fold = f"list_reduce(list_prepend(list_transform(range(length({b}) + 2), lambda z: 0), list_transform(range(1, length({a}) + 1), lambda i: [i::int])), lambda acc, x: list_transform(range(1, length({b}) + 3), lambda k: CASE WHEN k = 1 THEN list_max({row}) ELSE ({row})[k] END))"
-    return f"CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) > 0 AND length({b}) > 0 THEN ({fold})[1]::double / (3 * least(length({a}), length({b}))) END"
+    row = f"list_reduce(list_prepend([list_max(acc), 0], list_transform(range(1, length({b}) + 1), lambda j: [j::int])), lambda r, y: list_append(r, {cell}))"
+    fold = f"list_reduce(list_prepend(list_transform(range(length({b}) + 2), lambda z: 0), list_transform(range(1, length({a}) + 1), lambda i: [i::int])), lambda acc, x: {row})"
+    return f"CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) > 0 AND length({b}) > 0 THEN list_max({fold})::double / (3 * least(length({a}), length({b}))) END"
+
+
+def same_token(a: str, b: str) -> str:
+    return f"(starts_with({a}, {b}) OR starts_with({b}, {a}) OR ({a}, {b}) IN (('boln', 'boletin'), ('boletin', 'boln'), ('qld', 'queensland'), ('queensland', 'qld')) OR levenshtein({a}, {b}) <= 1)"
+
+
+def token_lcs(a: str, b: str) -> str:
+    """SQL of similarity.token_lcs for two lists of tokens."""
+    cell = f"CASE WHEN {same_token(f'{a}[p[1]]', f'{b}[q[1]]')} THEN acc[q[1]] + 1 ELSE greatest(acc[q[1] + 1], r[len(r)]) END"
+    row = f"list_reduce(list_prepend([0], list_transform(range(1, len({b}) + 1), lambda j: [j::int])), lambda r, q: list_append(r, {cell}))"
+    fold = f"list_reduce(list_prepend(list_transform(range(len({b}) + 1), lambda z: 0), list_transform(range(1, len({a}) + 1), lambda i: [i::int])), lambda acc, p: {row})"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 OR {a} IS NULL OR {b} IS NULL THEN 0.0 ELSE 2 * ({fold})[len({b}) + 1]::double / (len({a}) + len({b})) END"
 
 
 #: Relations that the queries derive (see relations).
@@ -67,6 +84,52 @@ NK = rf"""raw AS (
          array_to_string(list_transform(t, lambda w: w[:1]), '') AS key_d
   FROM nt
 )"""
+#: Names from pages' titles and parts, with their keys, and the runs they form.
+NT = rf"""titles AS (
+  SELECT page_id AS id, trim({decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS raw, nullif(regexp_extract(url, '://([^/?#]+)', 1), '') AS issn FROM pages
+  UNION ALL SELECT p_partkey + 1000000000, concat_ws(' ', CASE WHEN p_partkey % 2 = 0 THEN x || ' ' || y ELSE y || ' ' || x END, x || 'ish', y || 'ics', x || y, y || x, lower(p_type)), p_brand FROM (SELECT *, split_part(p_name, ' ', 1) AS x, split_part(p_name, ' ', 2) AS y FROM part)
+), bare AS (
+  SELECT id, raw, issn, regexp_replace(regexp_replace({decoded("regexp_replace(raw, '<[^>]*>', '', 'g')")}, '(?i)[d|l][''|’]', '', 'g'), '\.(\p{{L}})', '. \1', 'g') AS t FROM titles
+), parted AS (
+  SELECT *, CASE WHEN regexp_full_match(t, '[\p{{Lu}}\s"]+') THEN t ELSE
+         array_to_string(list_transform(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'), lambda w: CASE WHEN NOT regexp_full_match(w, '[A-Z]{{2,}}') THEN w WHEN length(w) > 20 THEN array_to_string(list_append(string_split(w[:20], ''), w[21:]), ' ') ELSE array_to_string(string_split(w, ''), ' ') END), '') END AS u FROM bare
+), nn AS (
+  SELECT id, raw, issn, trim(lower(regexp_replace({unaccent(f"regexp_replace(u, '{SPACES}', ' ', 'g')")}, '[^a-zA-Z0-9 ]', '', 'g'))) AS normalized FROM parted
+), nw AS (
+  SELECT *, list_filter(string_split(normalized, ' '), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({STOPS})) AS t FROM nn
+), names AS (
+  SELECT id, raw, issn, normalized, t, array_to_string(list_transform(t, lambda w: w[:3]), ' ') AS key_a, array_to_string(list_sort(list_transform(t, lambda w: w[:3])), ' ') AS key_b,
+         array_to_string(list_transform(t, lambda w: w[:3])[:3], ' ') AS key_c
+  FROM nw
+)"""
+RUNS = rf"""{NT}, ahead AS (
+  SELECT *, lag(t) OVER (ORDER BY key_a, normalized, id) AS b FROM names WHERE key_a <> ''
+), likes AS (
+  SELECT b, t, {token_lcs('b', 't')} AS lcs FROM (SELECT DISTINCT b, t FROM ahead)
+), broken AS (
+  SELECT ahead.*, CASE WHEN lcs < 0.5 THEN 1 ELSE 0 END AS k FROM ahead JOIN likes ON ahead.t = likes.t AND ahead.b IS NOT DISTINCT FROM likes.b
+), runs AS (
+  SELECT id, raw, issn, normalized, t, key_b, key_c, sum(k) OVER (ORDER BY key_a, normalized, id ROWS UNBOUNDED PRECEDING) AS c FROM broken
+  UNION ALL SELECT id, raw, issn, normalized, t, key_b, key_c, 1000000 + row_number() OVER () FROM names WHERE key_a = ''
+)"""
+TOLD = "min(id) AS least, count(*) AS n, min(normalized) AS first, max(normalized) AS last"
+
+
+def _union(most: int, issn: bool = False) -> str:
+    """Clusters of runs, merged by the likeness of their representatives in blocks of up to so many, or by ISSN."""
+    linked = " UNION ALL SELECT min(c) OVER (PARTITION BY issn), c FROM runs WHERE issn IS NOT NULL" if issn else ""
+    return rf"""{RUNS}, reps AS (
+  SELECT DISTINCT ON (c) c, t, key_b, key_c FROM runs ORDER BY c, len(t) DESC, id
+), blocks AS (
+  SELECT *, count(*) OVER (PARTITION BY kind, key) AS size FROM (SELECT c, t, 'b' AS kind, key_b AS key FROM reps UNION ALL SELECT c, t, 'c', key_c FROM reps) WHERE key <> ''
+), pairs AS (
+  SELECT DISTINCT x.c AS a, y.c AS b, x.t AS ta, y.t AS tb FROM blocks x JOIN blocks y ON x.kind = y.kind AND x.key = y.key AND x.c < y.c WHERE x.size <= {most}
+), links AS (
+  SELECT a, b FROM pairs WHERE {token_lcs('ta', 'tb')} >= 0.85{linked}
+), ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+ reach AS (SELECT DISTINCT c AS s, c AS t FROM runs UNION SELECT reach.s, ways.b FROM reach JOIN ways ON reach.t = ways.a), merged AS (SELECT s, min(t) AS m FROM reach GROUP BY 1)"""
+
+
 KC = NK + ", kc AS (SELECT *, min(id) OVER (PARTITION BY key_a) AS cluster_id FROM names)"
 
 #: Pairs of works from orders in a block, and whether their fields are alike; titles and containers, of which there are a few, are aligned once.
@@ -94,8 +157,9 @@ ORACLES: dict[str, str] = {
     "title_counts": f"WITH {WO} SELECT title AS value, count(*) AS n FROM wo GROUP BY 1",
     "container_counts": f"WITH {WO} SELECT container_title AS value, count(*) AS n FROM wo GROUP BY 1",
     "family_given": f"WITH {WO} SELECT family, given, count(*) AS n FROM wo GROUP BY 1, 2",
-    "nonletter_containers": f"WITH {WD} SELECT source[1] AS lead, source AS value FROM wd WHERE length(source) > 0 AND lower(source[1]) = upper(source[1])",
+    "nonletter_containers": f"WITH {WO}, v AS (SELECT CASE WHEN issue = 'F' THEN first || '-' || last ELSE container_title END AS value FROM wo) SELECT value[1] AS lead, value FROM v WHERE length(value) > 0 AND lower(value[1]) = upper(value[1])",
     "nonletter_leads": f"WITH {WD} SELECT substr(title, 1, 1) AS lead, title AS value FROM wd WHERE length(title) > 0 AND lower(substr(title, 1, 1)) = upper(substr(title, 1, 1)) AND substr(title, 1, 1) <> 'ß'",
+    "nonletter_words": f"WITH {WD}, v AS (SELECT DISTINCT unnest(string_split(title, ' ')) AS value FROM wd) SELECT substr(value, 1, 1) AS lead, value FROM v WHERE length(value) > 0 AND lower(substr(value, 1, 1)) = upper(substr(value, 1, 1)) AND substr(value, 1, 1) <> 'ß'",
     "source_counts": f"WITH {WO} SELECT source, count(*) AS n FROM wo GROUP BY 1",
     "volumes_in_year": f"WITH {WO} SELECT DISTINCT y AS year, volume FROM wo",
     "works_envelope": f"WITH {WO} SELECT y AS outer, cluster, arg_min(_id, ((_id <> cluster)::int)::varchar || _id) AS _id, count(*) AS cluster_size FROM wo GROUP BY 1, 2".replace(" AS outer", ' AS "outer"'),
@@ -166,10 +230,19 @@ ORACLES: dict[str, str] = {
  SELECT cluster_id, CASE WHEN k = 1 THEN base ELSE base || '-' || k::varchar END AS _id, name, variants, ISSN, false AS junk FROM k""",
     "curation_absorb": f"""WITH {KC}, v AS (SELECT DISTINCT cluster_id, raw FROM kc), c AS (SELECT DISTINCT raw FROM kc WHERE id % 97 = 0)
  SELECT cluster_id, count(c.raw) AS claimed, count(*) AS size FROM v LEFT JOIN c USING (raw) GROUP BY 1 HAVING count(c.raw) > 0""",
-    "review_sheet": f"""WITH {KC}, v AS (SELECT cluster_id, raw, count(*) AS n, max(issn) AS issn FROM kc GROUP BY 1, 2), z AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS size FROM v),
- p AS (SELECT cluster_id, first(raw ORDER BY length(normalized) DESC, normalized, raw) AS rep FROM kc GROUP BY 1),
+    "review_sheet": f"""WITH {RUNS}, v AS (SELECT c AS cluster_id, raw, count(*) AS n, max(issn) AS issn FROM runs WHERE c < 1000000 GROUP BY 1, 2), z AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS size FROM v),
+ p AS (SELECT c AS cluster_id, first(raw ORDER BY length(normalized) DESC, normalized, raw) AS rep FROM runs GROUP BY 1),
  r AS (SELECT z.*, rep, dense_rank() OVER (ORDER BY (rep = '')::int, rep, z.cluster_id) AS sheet, row_number() OVER (PARTITION BY z.cluster_id ORDER BY (raw <> rep)::int, n DESC, raw) AS place FROM z JOIN p ON p.cluster_id = z.cluster_id WHERE size >= 2)
- SELECT sheet, place::int AS place, cluster_id, raw, n, issn, CASE WHEN place > 1 THEN '+' ELSE '' END AS flag, (sheet % 2)::int AS band FROM r""",
+ SELECT sheet, place::int AS place, raw, n, issn, CASE WHEN place > 1 THEN '+' ELSE '' END AS flag, (sheet % 2)::int AS band FROM r""",
+    "runs_and_breaks": f"WITH {RUNS} SELECT {TOLD} FROM runs GROUP BY c",
+    "block_union": f"WITH RECURSIVE {_union(600)} SELECT {TOLD} FROM runs JOIN merged ON s = c GROUP BY m",
+    "block_union_uncapped": f"WITH RECURSIVE {_union(1 << 60)} SELECT {TOLD} FROM runs JOIN merged ON s = c GROUP BY m",
+    "union_stats": f"WITH RECURSIVE {_union(600, True)}, n AS (SELECT m, count(*) AS n FROM runs JOIN merged ON s = c GROUP BY m) SELECT sum(n)::bigint AS total, count(*) AS clusters, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n > 1) AS multi FROM n",
+    "runs_report": f"""WITH {NT}, d AS (SELECT DISTINCT normalized, t, key_a FROM names WHERE key_a <> '' ORDER BY key_a, normalized LIMIT 150),
+ l AS (SELECT *, lag(t) OVER (ORDER BY key_a, normalized) AS b, coalesce(lag(key_a) OVER (ORDER BY key_a, normalized), '') AS k FROM d)
+ SELECT normalized, round({token_lcs('b', 't')}, 4) AS lcs, round(len(list_filter(range(1, least(length(k), length(key_a)) + 1), lambda i: k[:i] = key_a[:i])) / greatest(length(k), length(key_a)), 4) AS prefix FROM l""",
+    "alignment_feature": f"""WITH {NT}, n AS (SELECT DISTINCT key_c, normalized AS v FROM names WHERE key_c <> ''), p AS (SELECT x.v AS a, y.v AS b FROM n x JOIN n y ON x.key_c = y.key_c AND x.v < y.v)
+ SELECT a, b, round({alignment('a', 'b')}, 6) AS score FROM p""",
     "variant_resolution": f"""WITH {KC}, v AS (SELECT cluster_id, raw, count(*) AS n FROM kc GROUP BY 1, 2),
  b AS (SELECT cluster_id, name, 'container:' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM (SELECT cluster_id, first(raw ORDER BY n DESC, length(raw) DESC, raw) AS name FROM v GROUP BY 1)),
  k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY cluster_id) AS k FROM b)
@@ -202,7 +275,7 @@ ORACLES: dict[str, str] = {
     "roman_numerals": """SELECT c_custkey, ((CASE WHEN c_custkey % 2 = 0 THEN 100 ELSE 40 END) + 10 * least(3, CASE c_custkey % 40 WHEN 0 THEN 2 ELSE c_custkey % 40 END) + CASE WHEN c_custkey % 3 = 0 THEN 9 ELSE 6 END)::int AS value, c_custkey AS volume FROM customer""",
     "coverage_summary": """WITH c AS (SELECT source AS cid, quality AS matched, n_chars::double AS score FROM labels JOIN documents USING (doc_id)),
  s AS (SELECT cid, list_sort(list(score) FILTER (matched = 1 AND score IS NOT NULL)) AS s, count(*) AS checked, count(*) FILTER (matched = 1) AS matched FROM c GROUP BY 1)
- SELECT cid, checked, matched, checked - matched AS gaps, s[1] AS least, s[len(s) // 2 + 1] AS middle, s[len(s)] AS greatest FROM s""",
+ SELECT cid, checked, matched, checked - matched AS gaps, round(matched * 100 / checked, 1) AS percent, s[1] AS least, s[len(s) // 2 + 1] AS middle, s[len(s)] AS greatest, '2024-01-01' AS latest FROM s""",
     "coverage_lowest": """WITH c AS (SELECT source AS cid, doc_id::varchar AS cluster_id, n_chars::double AS score, lang AS title FROM labels JOIN documents USING (doc_id) WHERE quality = 1)
  SELECT cid, row_number() OVER (PARTITION BY cid ORDER BY score, cluster_id)::int AS place, cluster_id, score, title FROM c QUALIFY place <= 5""",
     "coverage_gaps": """WITH c AS (SELECT source AS cid, doc_id::varchar AS cluster_id, lang AS title FROM labels JOIN documents USING (doc_id) WHERE quality = 0)
@@ -223,6 +296,25 @@ ORACLES: dict[str, str] = {
  SELECT 'works' AS name, count(*) AS n FROM wd UNION ALL SELECT 'clusters', count(*) FROM c WHERE s = least""",
 }
 
+LOADED = f"WITH {WO} SELECT _id, type, title, container_title, volume::varchar AS volume, issue, first || '-' || last AS page, family, NULL::bigint AS year, 'orders' AS source, '2024-01-01' AS created, _id AS cluster FROM wo"
+ORACLES |= {
+    "load_csl_lines": LOADED,
+    "load_csl_array": LOADED,
+    "load_names": "SELECT p_name || ' ' || p_type AS raw, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS issn, count(*) AS n FROM part GROUP BY 1, 2",
+    "text_line_references": f"WITH {WO}, c AS (SELECT title || '. ' || container_title || ' ' || volume || ': ' || first || '-' || last || '. ' || y AS u FROM wo) SELECT u AS unstructured, '10.1/x' AS citing, count(*) AS n FROM c GROUP BY 1",
+    "jats_article_references": f"""WITH {WO} SELECT 'https://doi.org/10.9/' || first || '#' || _id AS _id, 'article-journal' AS type, family, regexp_replace(regexp_replace(given, '([A-Z])', '\\1 ', 'g'), ' $', '') AS given, title, container_title,
+ volume::varchar AS volume, issue, y AS year, first || '-' || last AS page, '10.9/' || first AS citing FROM wo""",
+    "html_meta_references": f"WITH {WO} SELECT 'https://doi.org/10.9/x' || first AS parent, (row_number() OVER (PARTITION BY first ORDER BY title || ' &amp; ' || _id) - 1)::int AS row, title || ' & ' || _id AS text FROM wo",
+    "route_years": ORACLES["years"],
+    "route_author_letters": ORACLES["family_letters"],
+    "route_authors": f"WITH {WO} SELECT family, count(*) AS n FROM wo WHERE upper(family[1]) = 'C' GROUP BY 1",
+    "route_volumes": f"WITH {WO} SELECT DISTINCT volume FROM wo WHERE y = 1996",
+    "route_records": f"WITH {WO} SELECT _id, title, first || '-' || last AS page FROM wo WHERE _id IN ('urn:o:000000000001', 'urn:o:000000000002', 'urn:o:000000000003')",
+    "route_works_by_title": ORACLES["container_works"].replace("IN ('BUILDING', 'MACHINERY')", "= 'BUILDING'"),
+    "route_search": ORACLES["search_clusters"],
+    "route_export": ORACLES["export_ris"] + " WHERE _id IN (SELECT arg_min(_id, ((_id <> cluster)::int)::varchar || _id) FROM wo WHERE y = 1996 AND volume = 3 GROUP BY first, cluster)",
+}
+
 #: The fields of works from orders as votes, in the order of their records.
 CR = WO + """, f AS (
   SELECT cluster, _id, unnest(['author', 'title', 'container_title', 'volume', 'issue', 'page', 'year', 'day', 'type']) AS field,

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.catalog import Catalog
 from citeloom.functions import csl, similarity, text
 from citeloom.operators import browse, consensus, containers, coverage, export, linkage, search, views
-from citeloom.plans.relations import coverage_l, names_p, queue_e, table, votes_l, works_d, works_o
+from citeloom.operators.tables import shared_dir
+from citeloom.plans.relations import coverage_l, names_p, names_t, queue_e, table, votes_l, works_d, works_o
 from citeloom.sources import csl as csl_source
 from citeloom.sources import markup
 
@@ -42,8 +45,9 @@ over(works_o, views.years, "years")
 over(works_o, lambda w: views.values(w, "title"), "title_counts")
 over(works_o, lambda w: views.values(w, "container_title"), "container_counts")
 over(works_o, views.family_given, "family_given")
-over(works_d, views.odd_containers, "nonletter_containers")
+over(works_o, lambda w: views.odd_containers(w.withColumn("container_title", F.when(F.col("issue") == "F", F.col("page")).otherwise(F.col("container_title")))), "nonletter_containers")
 over(works_d, lambda w: views.odd_containers(w.withColumn("container_title", F.col("title"))), "nonletter_leads")
+over(works_d, lambda w: views.odd_containers(w.withColumn("container_title", F.explode(F.split("title", " ")))).distinct(), "nonletter_words")
 over(works_o, views.sources, "source_counts")
 over(works_o, lambda w: browse.volumes(w), "volumes_in_year")
 over(works_o, lambda w: browse.envelope(views.live(w), F.col("issued.year")), "works_envelope")
@@ -101,13 +105,6 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir, 0).select("a", "b", "score", "diff", "match")
 
 
-def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents of one source, language and length."""
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    one, two = d.select("source", "lang", "n_chars", F.col("doc_id").alias("a"), F.col("text").alias("ta")), d.select("source", "lang", "n_chars", F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return one.join(two, ["source", "lang", "n_chars"]).filter("a < b").select("a", "b", "ta", "tb")
-
-
 @query
 def levenshtein_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit distance of the parts' names that share a type."""
@@ -122,9 +119,10 @@ def levenshtein_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def alignment_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local alignment of whole texts of documents alike in source, language and length."""
-    n = _neighbours(spark, sf_dir)
-    return n.select("a", "b", F.round(similarity.alignment(text.normalise_title(F.col("ta")), text.normalise_title(F.col("tb"))), 6).alias("score"))
+    """Local alignment of names that share their first few prefixes."""
+    n = containers.keyed(names_t(spark, sf_dir)).filter("key_c <> ''").select("key_c", "normalized").distinct()
+    pairs = n.withColumnRenamed("normalized", "a").join(n.withColumnRenamed("normalized", "b"), "key_c").filter("a < b")
+    return pairs.select("a", "b", F.round(similarity.alignment(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 @query
@@ -210,7 +208,12 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.runs(containers.keyed(names_p(spark, sf_dir)))
+    return containers.runs(containers.keyed(names_t(spark, sf_dir)))
+
+
+def _told(clusters: DataFrame) -> DataFrame:
+    """Clusters by their least member."""
+    return clusters.groupBy("cluster_id").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("normalized").alias("first"), F.max("normalized").alias("last")).drop("cluster_id")
 
 
 def _by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,19 +224,30 @@ def _by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def runs_and_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("normalized").alias("first"), F.max("normalized").alias("last"))
+    return _told(_runs(spark, sf_dir))
 
 
 @query
 def runs_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.runs_report(containers.keyed(names_p(spark, sf_dir)).dropDuplicates(["normalized"]), limit=150).select("normalized", F.round("lcs", 4).alias("lcs"), F.round("prefix", 4).alias("prefix"))
+    """The first 150 names in order, each with its likeness to the one before."""
+    return containers.runs_report(containers.keyed(names_t(spark, sf_dir)).dropDuplicates(["normalized"]), limit=150).select("normalized", F.round("lcs", 4).alias("lcs"), F.round("prefix", 4).alias("prefix"))
 
 
 @query
 def block_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """String evidence only: there are too few ISSNs here to tell journals apart."""
-    merged = containers.block_union(_runs(spark, sf_dir), issn=False)
-    return containers.cluster_stats(merged)
+    """By likeness of representatives alone."""
+    return _told(containers.block_union(_runs(spark, sf_dir), issn=False))
+
+
+@query
+def block_union_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likewise, with blocks of any size."""
+    return _told(containers.block_union(_runs(spark, sf_dir), issn=False, cap=None))
+
+
+@query
+def union_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.cluster_stats(containers.block_union(_runs(spark, sf_dir)))
 
 
 @query
@@ -270,7 +284,7 @@ def curation_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def review_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.review_sheet(_by_key(spark, sf_dir), 2)
+    return containers.review_sheet(_runs(spark, sf_dir).filter("key_a <> ''"), 2).drop("cluster_id")
 
 
 @query
@@ -329,7 +343,7 @@ def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", csl.roman(s).alias("value"), csl.volume_number(F.concat(F.lit("Fasc. "), "c_custkey")).alias("volume"))
 
 
-over(coverage_l, lambda c: coverage.summary(c).drop("latest", "percent"), "coverage_summary")
+over(coverage_l, coverage.summary, "coverage_summary")
 over(coverage_l, coverage.lowest, "coverage_lowest")
 over(coverage_l, coverage.gaps, "coverage_gaps")
 
@@ -405,6 +419,89 @@ def key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csl_source.key_range(rows, "container", "BUILDING", 1996, 1997).select("_id", "year", "spage")
 
 
+def _filed(lines: DataFrame, tag: str) -> str:
+    """The folder of text files that hold the lines."""
+    path = f"{shared_dir(lines.sparkSession)}/citeloom/{tag}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+def _loaded(docs: DataFrame) -> DataFrame:
+    w = csl_source.works(docs, "orders", "csl", "2024-01-01")
+    return w.select("_id", "type", "title", "container_title", "volume", "issue", "page", F.col("author")[0]["family"].alias("family"), F.col("issued.year").alias("year"), "source", "created", "cluster")
+
+
+@query
+def load_csl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works from orders, written as lines of JSON and read back; their dates are no CSL dates."""
+    lines = works_o(spark, sf_dir).select(export.csl_json().alias("value"))
+    return _loaded(csl_source.read_lines(spark, _filed(lines, "lines")))
+
+
+@query
+def load_csl_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likewise, as JSON arrays."""
+    lines = export.array_document(works_o(spark, sf_dir).select(export.csl_json().alias("record")))
+    return _loaded(csl_source.read_array(spark, _filed(lines, "arrays")))
+
+
+@query
+def load_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and ISSNs, written as TSV with blank lines and read back."""
+    names = names_p(spark, sf_dir).select(F.explode(F.array(F.concat_ws("\t", "raw", F.when(F.col("id") % 2 == 0, F.col("issn")).otherwise(F.lit(""))), F.lit(" "))).alias("value"))
+    return markup.read_names(spark, _filed(names, "names")).groupBy("raw", "issn").agg(F.count("*").alias("n"))
+
+
+@query
+def text_line_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of orders, one on each line of text files."""
+    w = works_o(spark, sf_dir)
+    lines = w.select(csl.citation_string(F.col("title"), F.col("container_title"), F.col("volume"), F.col("page"), F.col("issued.year")).alias("value"))
+    refs = markup.text_references(spark, _filed(lines, "references"), "10.1/x")
+    return refs.select("unstructured", F.col("is_referenced_by")[0]["DOI"].alias("citing")).groupBy("unstructured", "citing").agg(F.count("*").alias("n"))
+
+
+@query
+def jats_article_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An article for each customer, whose references are the customer's orders."""
+    w = works_o(spark, sf_dir)
+    pages = F.split("page", "-")
+    tag = lambda name, c, attrs="": F.concat(F.lit(f"<{name}{attrs}>"), c, F.lit(f"</{name}>"))
+    name = tag("name", F.concat(tag("surname", F.col("author")[0]["family"]), tag("given-names", F.col("author")[0]["given"])))
+    fields = [tag("person-group", name), tag("article-title", F.col("title")), tag("source", F.col("container_title")), tag("volume", F.col("volume")), tag("issue", F.col("issue")), tag("year", F.concat(F.col("issued.year").cast("string"), F.lit("a"))), tag("fpage", pages[0]), tag("lpage", pages[1])]
+    ref = F.concat(F.lit('<ref id="'), "_id", F.lit('">'), tag("element-citation", F.concat(*fields)), F.lit("</ref>"))
+    articles = w.groupBy("page_first").agg(F.array_join(F.array_sort(F.collect_list(ref)), "").alias("refs"))
+    front = F.concat(F.lit('<front><article-meta><article-id pub-id-type="doi">10.9/'), "page_first", F.lit("</article-id></article-meta></front>"))
+    xml = articles.select(F.concat(F.lit("<!DOCTYPE article><article>"), front, F.lit("<back><ref-list>"), "refs", F.lit("</ref-list></back></article>")).alias("value"))
+    refs = markup.parse_jats(xml)
+    return refs.select("_id", "type", F.col("author")[0]["family"].alias("family"), F.col("author")[0]["given"].alias("given"), "title", "container_title", "volume", "issue", F.col("year").cast("bigint").alias("year"), "page", F.col("is_referenced_by")[0]["DOI"].alias("citing"))
+
+
+@query
+def html_meta_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer, with the customer's orders as citation_reference tags."""
+    w = works_o(spark, sf_dir)
+    meta = F.concat(F.lit('<meta name="citation_reference" content="'), "title", F.lit(" &amp; "), "_id", F.lit('">'))
+    by = w.groupBy("page_first").agg(F.array_join(F.array_sort(F.collect_list(meta)), "").alias("metas"))
+    pages = by.select(F.concat(F.lit('<html><head><meta name="citation_doi" content="10.9/X'), "page_first", F.lit('">'), "metas", F.lit("</head></html>")).alias("html"))
+    return markup.html_references(pages)
+
+
+def route(relation: Callable, f: Callable[[Catalog], DataFrame], name: str) -> None:
+    """A query that asks a catalogue of one relation."""
+    QUERIES[f"route_{name}"] = lambda spark, sf_dir: f(Catalog(relation(spark, sf_dir)))
+
+
+route(works_o, lambda c: c.years(), "years")
+route(works_o, lambda c: c.author_letters(), "author_letters")
+route(works_o, lambda c: c.authors("C"), "authors")
+route(works_o, lambda c: c.volumes(1996), "volumes")
+route(works_o, lambda c: c.records("urn:o:000000000001|urn:o:000000000002,urn:o:000000000003").select("_id", "title", "page"), "records")
+route(works_o, lambda c: c.works_by_title("BUILDING").select("outer", "cluster", "_id", "cluster_size"), "works_by_title")
+route(works_o, lambda c: c.export(c.works_by_volume(1996, 3), "ris"), "export")
+route(works_d, lambda c: c.search("the of", None).select("cluster", "_id", "cluster_size"), "search")
+
+
 @query
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as works: blocked by digest, compared, clustered, counted."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeloom.sources.markup import page_index
 from citeloom.schema import AUTHOR, CITER, REFERENCE
 
 
@@ -73,6 +74,15 @@ def names_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("raw"), F.col("p_brand").alias("issn"))
 
 
+def names_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal names: id, raw, issn. From the titles of pages (their host stands for the ISSN), and from parts: words made of their names, the first two in
+    either order, and their types."""
+    titles = page_index(table(spark, sf_dir, "pages").withColumn("issn", F.regexp_extract("url", "://([^/?#]+)", 1)).select(F.struct("page_id", "issn").alias("key"), "html"), "key")
+    one, two = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1_000_000_000).alias("id"), F.concat_ws(" ", F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", one, two)).otherwise(F.concat_ws(" ", two, one)), F.concat(one, F.lit("ish")), F.concat(two, F.lit("ics")), F.concat(one, two), F.concat(two, one), F.lower("p_type")).alias("raw"), F.col("p_brand").alias("issn"))
+    return titles.select(F.col("key.page_id").cast("long").alias("id"), F.coalesce("title", F.lit("")).alias("raw"), F.nullif("key.issn", F.lit("")).alias("issn")).unionByName(parts)
+
+
 def coverage_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage from labels of documents."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang"), "doc_id")

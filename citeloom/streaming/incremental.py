@@ -13,19 +13,31 @@ class Worker:
     """Keeps works in a folder of generations; each micro-batch writes the next one.
 
     A batch touches the blocks of its own records: pairs, features and decisions are made there only,
-    and the clusters they join are relabelled by their least id. A batch that is repeated after a failure gives the same generation.
+    and the clusters they join are relabelled by their least id. A generation counts once its writer has marked it complete; a batch
+    folds into the last complete one before its own number, so a batch that is repeated after a failure gives the same
+    generation, and a new worker goes on where an earlier one stopped.
     """
 
     def __init__(self, spark: SparkSession, path: str, date_precision: int = 0):
         self.spark, self.path, self.date_precision = spark, path, date_precision
-        self.generation = -1
+        self.generation = self._last(1 << 62)
 
-    def works(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/gen={self.generation}")
+    def _last(self, before: int) -> int:
+        """The last complete generation before this number; -1 if there is none."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+        found = [int(n[4:]) for n in names if n.startswith("gen=") and int(n[4:]) < before]
+        done = [g for g in found if store.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/gen={g}/_SUCCESS"))]
+        return max(done, default=-1)
+
+    def works(self, generation: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/gen={self.generation if generation is None else generation}")
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """Take in a batch of works."""
-        old = self.works() if self.generation >= 0 else batch.limit(0)
+        before = self._last(batch_id)
+        old = self.works(before) if before >= 0 else batch.limit(0)
         rows = csl.upsert(old, batch).persist()
         fresh = batch.select("_id").distinct()
         pairs = linkage.ladder_pairs(rows)

@@ -175,16 +175,16 @@ def test_coverage(works):
     assert coverage.upsert(got, got.withColumn("cid", F.lit("d"))).select("cid").distinct().first()["cid"] == "d"
 
 
-JATS = """<?xml version="1.0"?><!DOCTYPE article PUBLIC "x" "y.dtd"><article xmlns:xlink="http://www.w3.org/1999/xlink"><front><article-meta><article-id pub-id-type="doi">10.3897/zookeys.834.28800</article-id></article-meta></front>
-<back><ref-list><ref id="B16"><mixed-citation><person-group><name name-style="western"><surname>Benson</surname><given-names>WH</given-names></name></person-group> (<year>1856</year>) <ext-link ext-link-type="doi" xlink:href="10.1080/00222935608697626">x</ext-link></mixed-citation></ref>
+JATS = """<?xml version="1.0"?><!DOCTYPE article PUBLIC "x" "y.dtd"><article xmlns:xlink="http://www.w3.org/1999/xlink"><front><article-meta><article-id pub-id-type="doi">10.5555/example.5.77</article-id></article-meta></front>
+<back><ref-list><ref id="B16"><mixed-citation><person-group><name name-style="western"><surname>Marlowe</surname><given-names>WH</given-names></name></person-group> (<year>1856</year>) <ext-link ext-link-type="doi" xlink:href="10.5555/older.1856">x</ext-link></mixed-citation></ref>
 <ref id="B2"><element-citation><source>A book</source><publisher-name>P</publisher-name><fpage>1</fpage><lpage>9</lpage></element-citation></ref></ref-list></back></article>"""
 
 
 def test_jats(spark):
     rows = {r["_id"]: r for r in markup.parse_jats(spark.createDataFrame([(JATS,), ("junk",), (None,)], "value string")).collect()}
-    r = rows["https://doi.org/10.3897/zookeys.834.28800#B16"]
-    assert (r["author"][0]["family"], r["author"][0]["given"], r["year"], r["DOI"], r["title"], r["type"]) == ("Benson", "W H", 1856, "10.1080/00222935608697626", None, "article-journal")
-    b = rows["https://doi.org/10.3897/zookeys.834.28800#B2"]
+    r = rows["https://doi.org/10.5555/example.5.77#B16"]
+    assert (r["author"][0]["family"], r["author"][0]["given"], r["year"], r["DOI"], r["title"], r["type"]) == ("Marlowe", "W H", 1856, "10.5555/older.1856", None, "article-journal")
+    b = rows["https://doi.org/10.5555/example.5.77#B2"]
     assert (b["type"], b["title"], b["container_title"], b["page"]) == ("book", "A book", None, "1-9")
 
 
