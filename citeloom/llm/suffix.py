@@ -15,7 +15,8 @@ some 35 times fewer than byte positions. Then
 Exact copies of a document are found by digest first and removed whole. Texts travel compressed.
 
 Defined results: null texts are empty; a row without an id takes no part and stays whole; rows with equal id and text are one
-document and get equal results; strings are judged on the input, not on what is left.
+document and get equal results; rows with one id and several texts are a document for each text, the earlier the lesser the text's
+digest; strings are judged on the input, not on what is left. An empty table has an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import discard, text_of, write_shared
+from citeloom.llm.common import discard, slices, text_of, write_shared
 from citeloom.llm.hashing import Prefixes
 
 #: Bytes of an anchor's token.
@@ -41,6 +42,8 @@ TOKEN = 32
 CROWD = 4096
 #: Bytes of text that are worked on at a time, and of records in a bucket.
 CHUNK, BUCKET = 1 << 20, 12 << 20
+#: Bytes of text in a part of a batch in which repeated tokens are told.
+PART = 8 << 20
 
 
 def _quiet() -> None:
@@ -98,7 +101,7 @@ def token_rows(docs: DataFrame, length: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _quiet()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1, PART)):
             ids = b.column(0).to_numpy()
             hs, docs_, at_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for at, part in _chunks([t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]):
@@ -154,7 +157,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1, PART)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packer.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], names=["doc", "packed"])
 
     return docs.mapInArrow(pack, "doc long, packed binary")
@@ -169,7 +172,7 @@ def records(suspects: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _quiet()
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1, CHUNK)):
             ids = b.column(0).to_numpy()
             texts = [unpack.decompress(p) for p in b.column(1).to_pylist()]
             lists = b.column(2)
@@ -276,11 +279,11 @@ def mark_repeats(rows: DataFrame, size: int, per_row: int) -> tuple[DataFrame, d
     # A record or two of each bucket: as many as there are buckets, not records.
     heads: dict[int, bytes] = {}
     tails: dict[int, bytes] = {}
-    for r in out.filter("head OR tail").select("part", "head", "tail", "suffix").toLocalIterator():
+    for r in out.filter("head OR tail").select("part", "head", "tail", F.unhex(F.sha2("suffix", 256)).alias("digest")).toLocalIterator():
         if r["head"]:
-            heads[r["part"]] = hashlib.sha256(r["suffix"]).digest()
+            heads[r["part"]] = bytes(r["digest"])
         if r["tail"]:
-            tails[r["part"]] = hashlib.sha256(r["suffix"]).digest()
+            tails[r["part"]] = bytes(r["digest"])
     over, before = {}, None
     for p in sorted(heads):
         over[p] = heads[p] == before
@@ -404,12 +407,33 @@ def removed(suspects: DataFrame, intervals: DataFrame, length: int) -> DataFrame
     return suspects.join(by, "doc").select("doc", "packed", "runs").mapInPandas(cut, "doc long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>")
 
 
+def _by_ordinal(df: DataFrame, narrow: DataFrame, key: str, text: str, length: int) -> DataFrame:
+    """dedup() where ids come with several texts: documents are numbered in the order of id and digest, without a window over all rows."""
+    by = [key, "sha"]
+    rows = narrow.filter(F.col(key).isNotNull()).select(*by).distinct().repartitionByRange(*by).sortWithinPartitions(*by)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its partition
+    rows = write_shared(rows.select(*by, F.spark_partition_id().alias("part"), at.alias("at")), "ordinals")
+    start, before = [], 0
+    for r in rows.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each partition
+        start.append((r["part"], before))
+        before += r["n"]
+    offsets = df.sparkSession.createDataFrame(start, "part int, before long")
+    numbers = write_shared(rows.join(F.broadcast(offsets), "part").select(*by, (F.col("before") + F.col("at")).alias("ordinal")), "ordinals")
+    t = text_of(F.col(text))
+    numbered = df.select(F.col(key), t.alias("text"), F.unhex(F.sha2(t, 256)).alias("sha")).join(numbers, by, "left").select("ordinal", "text")
+    out = dedup(write_shared(numbered, "numbered"), "ordinal", "text", length)
+    return out.join(numbers, "ordinal", "left").select(key, *(c for c in out.columns if c != "ordinal"))
+
+
 def dedup(df: DataFrame, key: str, text: str, length: int = 100) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, spans of every row."""
     t = text_of(F.col(text))
     docs = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), t.alias("text"))
     narrow = write_shared(df.select(F.col(key), F.octet_length(t).cast("long").alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("sha")), "digests")
 
+    several = narrow.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("sha").alias("lo"), F.max("sha").alias("hi")).filter("lo <> hi")
+    if not several.isEmpty():
+        return _by_ordinal(df, narrow, key, text, length)
     kept = write_shared(repeated(token_rows(docs, length)).groupBy("doc").agg(F.collect_set("anchor").alias("kept")), "anchors")
     first = narrow.filter(F.col("n_bytes") >= length).groupBy("sha").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     narrow = write_shared(narrow.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("first") < F.col(key), F.lit(False))).drop("first"), "copies")

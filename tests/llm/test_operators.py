@@ -136,6 +136,15 @@ def test_suffix_odd_rows(spark, empty):
     assert [r["n_removed"] for r in rows if r["doc_id"] is None] == [0]
 
 
+def test_suffix_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    texts = [(5, a + b), (5, b + c), (5, b + c), (9, c + a), (2, None), (None, a)]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text").collect())
+    order = sorted({(k, t or "") for k, t in texts if k is not None}, key=lambda x: (x[0], hashlib.sha256(x[1].encode()).digest()))
+    want = dict(zip(order, brute_removed({i: t for i, (_, t) in enumerate(order)}, 100).values(), strict=True))
+    assert got == Counter((k, *(want[k, t or ""] if k is not None else (len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()))) for k, t in texts)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(max_size=20), min_size=1, max_size=30))
 def test_multikey_sort(strings):
