@@ -130,6 +130,18 @@ def journal_quality(names: DataFrame, labels: DataFrame) -> DataFrame:
     return by.agg(F.count("*").alias("journals"), F.count_if(F.col("k") == 1).alias("pure"), F.lit(over).cast("long").alias("over_merged"))
 
 
+def split_journals(names: DataFrame, labels: DataFrame) -> DataFrame:
+    """journal, n, clusters of every journal that lies in several clusters. labels: id, journal."""
+    by = names.join(labels, "id").groupBy("journal").agg(F.count("*").alias("n"), F.count_distinct("cluster_id").alias("clusters"))
+    return by.filter("clusters > 1")
+
+
+def merged_journals(names: DataFrame, labels: DataFrame) -> DataFrame:
+    """cluster_id, n, journals of every cluster that holds several journals. labels: id, journal."""
+    by = names.join(labels, "id").groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_distinct("journal").alias("journals"))
+    return by.filter("journals > 1")
+
+
 def spellings(names: DataFrame) -> DataFrame:
     """Distinct names of every cluster: n rows, an ISSN, a key."""
     return names.groupBy("cluster_id", "raw").agg(F.count("*").alias("n"), F.max("issn").alias("issn"), F.max("key_a").alias("key_a"))

@@ -52,15 +52,12 @@ def status(works: DataFrame, coverage: DataFrame) -> DataFrame:
 
 def summary(coverage: DataFrame) -> DataFrame:
     """By scope: checked, matched, gaps, percent matched (one decimal), least, middle and greatest score."""
-    has = (F.col("matched") == 1) & F.col("score").isNotNull()
-    w = Window.partitionBy("cid", has.alias("has"))
-    rows = coverage.withColumns({"_place": F.row_number().over(w.orderBy("score", "cluster_id")), "_of": F.count("*").over(w)})
-    rows = rows.withColumn("_score", F.when(has, F.col("score")))
+    rows = coverage.withColumn("_score", F.when(F.col("matched") == 1, F.col("score")))
     by = rows.groupBy("cid").agg(
         F.count("*").alias("checked"),
         F.count_if(F.col("matched") == 1).alias("matched"),
         F.min("_score").alias("least"),
-        F.max(F.when(F.col("_place") == F.floor(F.col("_of") / 2) + 1, F.col("_score"))).alias("middle"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _score DESC)").alias("middle"),  # of two in the middle, the greater
         F.max("_score").alias("greatest"),
         F.max("checked").alias("latest"),
     )

@@ -48,6 +48,12 @@ def _bits(same: Column, known: Column) -> Column:
     return F.when(~F.coalesce(known, F.lit(False)), F.array(F.lit(0), F.lit(0))).otherwise(F.array(same.cast("int"), (~same).cast("int")))
 
 
+def block_stars(blocks: DataFrame) -> DataFrame:
+    """a, b: every record of a block with the block's least one. Enough for clusters where a block's records all match; no group is gathered."""
+    hub = blocks.groupBy("block").agg(F.min("_id").alias("a"))
+    return blocks.join(hub, "block").select("a", F.col("_id").alias("b")).filter("a <> b").distinct()
+
+
 def exact(x: Column, y: Column) -> Column:
     """Equality of normalised values; two that both normalise to nothing are the same."""
     return _bits(x == y, x.isNotNull() & y.isNotNull())

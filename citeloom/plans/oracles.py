@@ -315,6 +315,26 @@ ORACLES |= {
     "route_export": ORACLES["export_ris"] + " WHERE _id IN (SELECT arg_min(_id, ((_id <> cluster)::int)::varchar || _id) FROM wo WHERE y = 1996 AND volume = 3 GROUP BY first, cluster)",
 }
 
+NAMED = f"""{KC}, v AS (SELECT cluster_id, raw, count(*) AS n FROM kc GROUP BY 1, 2),
+ b AS (SELECT cluster_id, name, k, 'container:' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM (SELECT cluster_id, first(raw ORDER BY n DESC, length(raw) DESC, raw) AS name, count(*) AS k FROM v GROUP BY 1)),
+ c AS (SELECT cluster_id, name, k AS variants, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY cluster_id) = 1 THEN base ELSE base || '-' || (row_number() OVER (PARTITION BY base ORDER BY cluster_id))::varchar END AS _id FROM b)"""
+FOLD = f"translate(upper(substr(raw, 1, 1)), '{''.join(text.FOLDED.values())}', '{''.join(k * len(v) for k, v in text.FOLDED.items())}')"
+ORACLES |= {
+    "container_list": f"WITH {NAMED} SELECT upper(name[1]) AS letter, name, variants::int AS variants FROM c",
+    "container_manage": f"WITH {NAMED} SELECT '20240101' AS cluster_run, _id FROM c WHERE cluster_id % 3 <> 0",
+    "container_variants": f"WITH {NAMED} SELECT v.raw AS variant, _id FROM c JOIN v ON v.cluster_id = c.cluster_id",
+    "split_journals": f"WITH {KC} SELECT issn AS journal, count(*) AS n, count(DISTINCT cluster_id) AS clusters FROM kc GROUP BY 1 HAVING count(DISTINCT cluster_id) > 1",
+    "merged_journals": f"WITH {KC} SELECT cluster_id, count(*) AS n, count(DISTINCT issn) AS journals FROM kc GROUP BY 1 HAVING count(DISTINCT issn) > 1",
+    "short_titles": f"WITH {WO} SELECT container_title AS title, container_title[:4] AS short, count(*) AS n FROM wo GROUP BY 1, 2",
+    "simplified": f"WITH {WO} SELECT _id, title, container_title, volume::varchar AS volume, issue, first || '-' || last AS page, y AS year FROM wo",
+    "clean_dois": f"WITH {WO} SELECT _id, '10.1/abc.' || first || '-' || last AS doi FROM wo",
+    "cluster_graph": f"""WITH {WO} SELECT '"' || _id || '" -> "' || cluster || '";' AS line FROM wo WHERE _id <> cluster""",
+    "training_rows": f"""WITH {COMPARED} SELECT concat_ws(chr(9), 1, 0, t, 1 - t, c, 1 - c, 1, 0, i, 1 - i, g, 1 - g, 1, 0, m, 1 - m, d, 1 - d, 0, 0, (2 + t + c + i + g + m + d >= 3 AND t + c + i + g + m + d = 6)::int) AS row, count(*) AS n FROM p GROUP BY 1""",
+    "unaccented": f"WITH {WD} SELECT _id, md5({unaccent('title')}) AS digest FROM wd",
+    "name_letters": rf"""WITH {NT} SELECT id, {FOLD} AS letter, CASE WHEN length(raw) > 30 THEN substr(raw, 1, 29) ELSE raw END AS short, trim(regexp_replace(raw, '[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+', ' ', 'g')) AS line FROM titles""",
+    "clean_names": rf"WITH {NT} SELECT id, key_a <> '' AND regexp_matches(raw, '^\s*\p{{L}}') AS clean FROM names",
+}
+
 #: The fields of works from orders as votes, in the order of their records.
 CR = WO + """, f AS (
   SELECT cluster, _id, unnest(['author', 'title', 'container_title', 'volume', 'issue', 'page', 'year', 'day', 'type']) AS field,

@@ -74,8 +74,7 @@ def tier_ladder_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def work_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = works_d(spark, sf_dir)
-    matches = linkage.block_pairs(linkage.doi_block(w))
-    return linkage.cluster(w, matches)
+    return linkage.cluster(w, linkage.block_stars(linkage.doi_block(w)))
 
 
 @query
@@ -487,6 +486,27 @@ def html_meta_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.html_references(pages)
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container documents; those of every third cluster are curated."""
+    docs = containers.container_docs(_by_key(spark, sf_dir), "20240101")
+    return docs.withColumn("curated", F.col("cluster_id") % 3 == 0)
+
+
+over(_docs, views.container_list, "container_list")
+over(_docs, views.manage, "container_manage")
+over(_docs, lambda d: views.variants(d), "container_variants")
+over(_by_key, lambda n: containers.split_journals(n, n.select("id", F.col("issn").alias("journal"))), "split_journals")
+over(_by_key, lambda n: containers.merged_journals(n, n.select("id", F.col("issn").alias("journal"))), "merged_journals")
+over(works_o, lambda w: views.short_titles(w.withColumn("container_title_short", F.substring("container_title", 1, 4))), "short_titles")
+over(works_o, lambda w: browse.simplify(w).select("_id", "title", "container_title", "volume", "issue", "page", F.col("issued.year").alias("year")), "simplified")
+over(works_o, lambda w: w.select("_id", csl.clean_doi(F.concat(F.when(F.col("issue") == "F", "https://doi.org/").when(F.col("issue") == "O", "HTTP://dx.doi.org/").otherwise(""), F.lit("10.1/ABC."), F.col("page"))).alias("doi")), "clean_dois")
+over(works_o, lambda w: linkage.graph_text(w.select("_id", "cluster")), "cluster_graph")
+over(works_o, lambda w: linkage.training_rows(linkage.compare(linkage.block_pairs(linkage.hash_block(w)), w, 3)).groupBy("row").agg(F.count("*").alias("n")), "training_rows")
+over(works_d, lambda w: w.select("_id", F.md5(text.unaccent(F.col("title"))).alias("digest")), "unaccented")
+over(names_t, lambda n: n.select("id", text.folded_letter(F.col("raw")).alias("letter"), text.shorten(F.col("raw"), 30).alias("short"), text.one_line(F.col("raw")).alias("line")), "name_letters")
+over(names_t, lambda n: containers.keyed(n).select("id", text.is_clean(F.col("raw"), F.col("key_a")).alias("clean")), "clean_names")
+
+
 def route(relation: Callable, f: Callable[[Catalog], DataFrame], name: str) -> None:
     """A query that asks a catalogue of one relation."""
     QUERIES[f"route_{name}"] = lambda spark, sf_dir: f(Catalog(relation(spark, sf_dir)))

@@ -52,8 +52,11 @@ def works_o(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def works_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works from documents: the whole text is the title, its digest stands for the DOI, so copies share a block."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").withColumn("_md5", F.md5(F.col("text")))
     ident = F.concat(F.lit("doc:"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    # An aggregation and a join, which Spark can split, in place of a window over a crowd of copies.
+    least = d.groupBy(F.col("_md5").alias("_of")).agg(F.min(ident).alias("_least"))
+    d = d.join(least, F.col("_md5").eqNullSafe(F.col("_of")))
     return d.select(
         *_work(
             _id=ident,
@@ -62,9 +65,9 @@ def works_d(spark: SparkSession, sf_dir: str) -> DataFrame:
             container_title=F.col("source"),
             volume=F.col("lang"),
             page=F.col("n_chars"),
-            DOI=F.upper(F.md5(F.col("text"))),
+            DOI=F.upper("_md5"),
             source=F.col("source"),
-            cluster=F.min(ident).over(Window.partitionBy(F.md5(F.col("text")))),
+            cluster=F.col("_least"),
         )
     )
 

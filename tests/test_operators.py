@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.catalog import Catalog
+from citeloom.functions import text
 from citeloom.operators import browse, consensus, containers, coverage, export, linkage, search, views
 from citeloom.operators.components import connected_components
 from citeloom.sources import csl, markup
@@ -224,3 +225,27 @@ def test_streaming(spark, works, tmp_path):
     stream = spark.readStream.schema(plain.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     worker.start(stream, str(tmp_path / "check")).awaitTermination(120)
     assert {r["_id"]: r["cluster"] for r in worker.works().collect()} == {"a1": "a1", "a2": "a1", "b1": "b1"}
+    # A worker that is started anew goes on with what is there, and a batch that comes again gives the same works.
+    again = Worker(spark, str(tmp_path / "store"))
+    late = plain.filter(F.col("_id") == "a2").withColumn("_id", F.lit("z9"))
+    again.fold(late, 3)
+    assert {r["_id"] for r in again.works().collect()} == {"a1", "a2", "b1", "z9"}
+    again.fold(late, 3)
+    assert {r["_id"]: r["cluster"] for r in again.works().collect()}["a1"] == "a1" and again.works().count() == 4
+
+
+def test_written_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from citeloom.operators.tables import shared_dir
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_entities(spark):
+    raw = ["a &eacute;&#233;&#xE9; &amp;amp; &lt;b&gt;", "&notreal; &#0; & &copy;", "plain", None, "&#128512;&nbsp;x"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").select(text.decode_entities(F.col("x"))).collect()]
+    assert got == ["a ééé &amp; <b>", "&notreal; &#0; & ©", "plain", None, "😀\u00a0x"]
