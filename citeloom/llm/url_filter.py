@@ -8,7 +8,8 @@ over a block of URLs: the state is a (urls x words) matrix of 64-bit masks.
 
 Defined results: a null URL or one without ``://`` has an empty host and an empty
 path; no rule fits it, so it gets the default verdict. Repeated URLs get equal rows.
-Of several fitting rules the longest wins; of equally long ones, the first listed.
+Of several fitting rules the longest wins; of equally long ones, the first listed. URLs of any length are read whole; an
+empty table has an empty result; other columns of the input play no part, whatever their names.
 """
 
 from __future__ import annotations

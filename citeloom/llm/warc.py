@@ -15,7 +15,8 @@ hot digests Spark may split), before any byte is written.
 
 Defined results: a null payload counts as empty; payloads under ``min_revisit`` bytes
 are always responses; a null URL is written as ``urn:page:`` and the key; rows with a null
-key are kept, with a null key. Damaged or truncated members and wrong
+key are kept, with a null key. Repeated rows each have a record. Very long payloads are one record each; an empty table has no
+records; other columns of the input play no part, whatever their names. Damaged or truncated members and wrong
 digests raise ``WarcError``.
 """
 

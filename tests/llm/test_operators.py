@@ -185,6 +185,13 @@ def test_warc_tables(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0), "page_id", "url", "html")).count() == 0
 
 
+def test_warc_odd_tables(spark):
+    long_ = "é" * 3_000_000
+    pages = spark.createDataFrame([(1, "u", long_, 7, "d", "k"), (2, "u", long_, 7, "d", "k"), (2, "u", "short", 7, "d", "k"), (2, "u", "short", 7, "d", "k")], "page_id long, url string, html string, payload int, digest string, key string")
+    got = Counter((r["key"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archives(warc.write_archives(pages, "page_id", "url", "html")).collect())
+    assert got == Counter([(1, "response", None, 6_000_000), (2, "revisit", 1, 6_000_000), (2, "response", None, 5), (2, "response", None, 5)])
+
+
 # 4 quality
 
 
@@ -450,6 +457,24 @@ def test_url_rules_host_in_path(spark):
     assert {r["id"]: r["verdict"] for r in url_filter.filter_urls(df, bare, "id").collect()} == {1: "block", 2: "allow", 3: "allow"}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["com", "net", "example", "www", "org", "a"]), max_size=4), st.text(st.sampled_from(list("/.enfrsx")) , max_size=12), st.sampled_from(["", "com/", "x.example.com/en/", "net/es/"])), max_size=8))
+def test_rules_against_a_plain_matcher(parts):
+    """Hosts inside paths must not fit; the longest fitting rule wins."""
+    urls = [(".".join(labels), "/" + path + tail if path or tail else "") for labels, path, tail in parts]
+    hit = url_filter.Automaton([r.glob for r in queries.URL_RULES]).match([f".{h}{url_filter.END}{p}".encode() for h, p in urls])
+    want = [[(h == r.host or h.endswith("." + r.host)) and p.startswith(r.path) for r in queries.URL_RULES] for h, p in urls]
+    assert hit.tolist() == want
+
+
+def test_url_odd_tables(spark):
+    kind = "page_id long, url string, host string, verdict int, rule string"
+    assert url_filter.filter_urls(spark.createDataFrame([], kind), queries.URL_RULES, "page_id").count() == 0
+    long_ = "http://x.net/es/" + "y" * 100_000
+    rows = url_filter.filter_urls(spark.createDataFrame([(1, long_, "h", 5, "r"), (1, long_, "h", 5, "r")], kind), queries.URL_RULES, "page_id").collect()
+    assert [(r["page_id"], r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in rows] == [(1, "x.net", 100_004, "net/es/", "block")] * 2
+
+
 # 8 n-gram Jaccard
 
 
@@ -578,6 +603,13 @@ def test_pii_added_and_redacted(spark):
     ]
 
 
+def test_pii_odd_tables(spark, empty):
+    assert pii.redact(pii.find_pii(empty)).count() == 0
+    df = spark.createDataFrame([("a@b.com", 1, 2), ("a@b.com", 1, 2)], "text string, _pii_spans_email int, score int")
+    rows = pii.redact(pii.find_pii(df)).collect()
+    assert [(r["text"], r["_pii_spans_email"], r["score"], len(r["pii_spans"])) for r in rows] == [("[EMAIL]", 1, 2, 1)] * 2
+
+
 def test_pii_is_native(spark, docs):
     plan = pii.redact(pii.find_pii(docs.drop("pii_spans")))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
