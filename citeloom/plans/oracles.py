@@ -241,7 +241,7 @@ ORACLES: dict[str, str] = {
     "runs_report": f"""WITH {NT}, d AS (SELECT DISTINCT normalized, t, key_a FROM names WHERE key_a <> '' ORDER BY key_a, normalized LIMIT 150),
  l AS (SELECT *, lag(t) OVER (ORDER BY key_a, normalized) AS b, coalesce(lag(key_a) OVER (ORDER BY key_a, normalized), '') AS k FROM d)
  SELECT normalized, round({token_lcs('b', 't')}, 4) AS lcs, round(len(list_filter(range(1, least(length(k), length(key_a)) + 1), lambda i: k[:i] = key_a[:i])) / greatest(length(k), length(key_a)), 4) AS prefix FROM l""",
-    "alignment_feature": f"""WITH {NT}, n AS (SELECT DISTINCT key_c, normalized AS v FROM names WHERE key_c <> ''), p AS (SELECT x.v AS a, y.v AS b FROM n x JOIN n y ON x.key_c = y.key_c AND x.v < y.v)
+    "name_alignment": f"""WITH {NT}, n AS (SELECT DISTINCT key_c, normalized AS v FROM names WHERE key_c <> ''), p AS (SELECT x.v AS a, y.v AS b FROM n x JOIN n y ON x.key_c = y.key_c AND x.v < y.v)
  SELECT a, b, round({alignment('a', 'b')}, 6) AS score FROM p""",
     "variant_resolution": f"""WITH {KC}, v AS (SELECT cluster_id, raw, count(*) AS n FROM kc GROUP BY 1, 2),
  b AS (SELECT cluster_id, name, 'container:' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM (SELECT cluster_id, first(raw ORDER BY n DESC, length(raw) DESC, raw) AS name FROM v GROUP BY 1)),
