@@ -151,7 +151,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> F.Column:
         return F.size(F.filter("pii_spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"), F.array_join(F.transform("pii_spans", lambda s: F.format_number(s["score"], "0.00")), ",").alias("scores"))
+    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"), F.array_join(F.transform("pii_spans", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
