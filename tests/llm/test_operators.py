@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -645,3 +646,43 @@ def test_topk_repeated_rows(spark):
     ints = topk.integer_vectors(df, "vec_id", "embedding", 64)
     rows = topk.search(ints.filter("id = 0").distinct(), ints, 20).collect()
     assert [(r["vec_id"], r["score"]) for r in rows] == [(1, 4096), (1, 4096)]
+
+
+@pytest.mark.parametrize("size", [1, 2**11, 2**26, 2**29])
+def test_topk_kinds_are_exact(size):
+    """Scores beyond 2**24 and 2**53, with ties, own ids and repeated ones, against Python's integers."""
+    rng = random.Random(size)
+    rows = [[rng.randrange(-size, size + 1) for _ in range(5)] for _ in range(60)] * 2
+    ids = [rng.randrange(100) for _ in rows]
+    held = topk.Resident([(np.array(ids[a:b], np.int64), np.array(rows[a:b], np.int64)) for a, b in ((0, 50), (50, 120))])
+    j, p, s = held.best(np.array(ids[:30], np.int64), np.array(rows[:30], np.int64), 7)
+    for n in range(30):
+        want = sorted((-sum(a * b for a, b in zip(rows[n], r, strict=True)), i) for i, r in zip(ids, rows, strict=True) if i != ids[n])[:7]
+        assert sorted((-int(x), int(held.ids[y])) for x, y in zip(s[j == n], p[j == n], strict=True)) == want
+
+
+def test_topk_rate():
+    """A block of queries passes resident candidates several times faster than 64-bit integers are added up term by term."""
+    rng = np.random.default_rng(1)
+    m = np.floor(rng.standard_normal((32768, 64)) * 8).astype(np.int8)
+    held, queries = topk.Resident([(np.arange(len(m)), m)]), m[:512]
+    began = time.process_time()
+    j, p, s = held.best(np.arange(512), queries, 20)
+    took = time.process_time() - began
+    weights, postings, scores = queries.astype(np.int64), m[:4096].T.astype(np.int64), np.zeros((512, 4096), np.int64)
+    began = time.process_time()
+    for t in range(64):
+        scores += weights[:, t, None] * postings[t]
+    assert took < (time.process_time() - began) * len(m) / 4096 / 3
+    first = p < 4096
+    assert (scores[j[first], p[first]] == s[first]).all()
+
+
+def test_topk_one_block_a_task(spark, monkeypatch):
+    """Blocks by hash shared tasks while other tasks had none."""
+    monkeypatch.setattr(topk, "RESIDENT", 64)
+    ints = spark.range(1000).selectExpr("id", "array(id % 7, id % 11) AS ints").repartition(3)
+    dealt = topk.deal(ints.filter("id % 20 = 0"), ints, 16).withColumn("task", F.spark_partition_id())
+    rows = dealt.filter("kind = 0").groupBy("task").agg(F.count_distinct("block").alias("blocks"), F.sum(F.length("ids") / 8).alias("n")).collect()
+    assert len(rows) == 16 and all(r["blocks"] == 1 and 58 <= r["n"] <= 66 for r in rows)
+    assert {(r["task"], r["n"]) for r in dealt.filter("kind = 1").groupBy("task").agg(F.sum(F.length("ids") / 8).alias("n")).collect()} == {(t, 50) for t in range(16)}
