@@ -5,7 +5,8 @@ references, each with its position; a reference has its digest or URL, its capti
 figure, else its alt text) and its declared length. ``store_media`` writes payloads as losslessly compressed
 images of 8-bit RGB samples, addressed by the SHA-256 of the payload; ``media_features`` reads the stored bytes
 back, decodes them and describes them. ``resolve`` joins references to what was found by
-digest, and keeps document, position and caption of every reference on its row.
+digest, and keeps document, position and caption of every reference on its row. ``assemble`` puts what was resolved back
+into the sequences; for that a document need name each payload once only (``wanted``).
 
 No payload is shuffled: the store is written where the payload was read, described where it is
 read back, and only the descriptions (some 200 bytes each) meet the references. Copies of a payload are
@@ -218,6 +219,12 @@ def references(sequences: DataFrame, key: str) -> DataFrame:
     return sequences.select(key, item).select(key, "i.position", "i.media", "i.caption", "i.length")
 
 
+def wanted(sequences: DataFrame, key: str) -> DataFrame:
+    """key, media: what a document's references name, once each."""
+    named = F.array_distinct(F.transform(F.filter("items", lambda i: i["kind"] == "media"), lambda i: i["media"]))
+    return sequences.select(key, F.explode(named).alias("media"))
+
+
 def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
     """Add what is stored under each reference's digest."""
     hexed = F.when(F.col("media").rlike("^[0-9a-f]{64}$"), F.unhex("media"))
@@ -225,9 +232,13 @@ def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def assemble(sequences: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
-    """Every document's items in order, those of media with what was resolved; a group is one document's references."""
+    """Every document's items in order, those of media with what was resolved; a group is one document's references.
+
+    resolved: of references(), by position, or of wanted(), by name, so that a description is sent to a document once.
+    """
+    by_what = "position" if "position" in resolved.columns else "media"
     cols = [c for c in resolved.columns if c not in (key, "media", "caption", "length")]
-    once = resolved.dropDuplicates([key, "position"])
-    by = once.groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*cols)))).alias("_found"))
+    once = resolved.dropDuplicates([key, by_what])
+    by = once.groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct(by_what, F.struct(*cols)))).alias("_found"))
     joined = sequences.join(by, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    return joined.withColumn("items", F.transform("items", lambda i: i.withField("found", F.try_element_at("_found", i["position"])))).drop("_found")
+    return joined.withColumn("items", F.transform("items", lambda i: i.withField("found", F.try_element_at("_found", i[by_what])))).drop("_found")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import jaccard, media, mixing, packing, pii, quality, suffix, topk, url_filter, warc
-from citeloom.llm.common import fresh, table, text_of, write_shared
+from citeloom.llm.common import discard, fresh, table, text_of, write_shared
 
 #: Host, path and kind of the rules.
 URL_RULES = (
@@ -18,40 +18,54 @@ URL_RULES = (
 )
 
 
-def page_of(text: F.Column, digest: F.Column, n_bytes: F.Column) -> F.Column:
+def page_lines(text: F.Column) -> F.Column:
+    """A document's lines that have words, as text of a page."""
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    return F.filter(F.split(safe, "\n"), lambda x: x.rlike(r"\S"))
+
+
+def page_of(lines: F.Column, digest: F.Column, n_bytes: F.Column) -> F.Column:
     """A document as HTML: a paragraph for each line that has words, and its payload in three places: a figure behind the first paragraph, an image
     behind the middle one, and a figure at the end, each captioned with what stands before it."""
-    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    lines = F.filter(F.split(safe, "\n"), lambda x: x.rlike(r"\S"))
     n = F.size(lines)
     img = lambda alt: F.concat(F.lit('<img src="sha256:'), digest, F.lit('" data-length="'), n_bytes.cast("string"), F.lit('" alt="'), alt, F.lit('">'))
     figure = lambda caption: F.concat(F.lit("<figure>"), img(F.lit("")), F.lit("<figcaption>"), caption, F.lit("</figcaption></figure>"))
-    head = lambda x: F.coalesce(F.substr(x, F.lit(1), F.lit(60)), F.lit(""))
-    line = lambda i: F.try_element_at(lines, i)
+    head = lambda i: F.coalesce(F.substr(F.try_element_at(lines, i), F.lit(1), F.lit(60)), F.lit(""))
     half = F.floor(n / 2).cast("int")
-    paragraphs = F.transform(lines, lambda x, i: F.concat(F.lit("<p>"), x, F.lit("</p>"), F.when(i == 0, figure(head(x))).otherwise(F.lit("")), F.when(i + 1 == half, img(head(x))).otherwise(F.lit(""))))
-    return F.concat(F.array_join(paragraphs, ""), figure(head(F.when(n > 0, line(n)))))
+    # The places are counted once a document, not in a function of every line.
+    paragraphs = lambda at, end: F.array_join(F.transform(F.slice(lines, at, F.greatest(end - at + 1, F.lit(0))), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    middle = F.greatest(half, F.lit(1))
+    return F.concat(
+        paragraphs(F.lit(1), F.lit(1)),
+        F.when(n > 0, figure(head(F.lit(1)))).otherwise(F.lit("")),
+        paragraphs(F.lit(2), middle),
+        F.when(half > 0, img(head(middle))).otherwise(F.lit("")),
+        paragraphs(middle + 1, n),
+        figure(F.when(n > 0, head(F.greatest(n, F.lit(1)))).otherwise(F.lit(""))),
+    )
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text_of(F.col("text"))
     raw = table(spark, sf_dir, "documents").select("doc_id", t.alias("text"), F.encode(t, "UTF-8").alias("bytes"))
     docs = raw.select("doc_id", "text", F.length("bytes").cast("long").alias("n_bytes"), media.padded(F.col("bytes")).alias("payload"))
+    store = media.store_media(docs, "payload")
     # As a table of its own, so that nothing but the join needs its partitioning and Spark may split a hot digest.
-    features = write_shared(media.media_features(media.store_media(docs, "payload")), "features")
-    digest = F.sha2("payload", 256)
-    # Ids may be missing or come again: a page is known by its id and its payload.
-    page = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest)
-    pages = media.parse_sequences(docs.select(page.alias("page"), page_of(F.col("text"), digest, F.col("n_bytes")).alias("html")), "page", "html")
+    features = write_shared(media.media_features(store), "features")
+    discard(store)
+    # Ids may be missing or come again: a page is known by its id and its payload, as bytes.
+    known = docs.select("doc_id", F.sha2("payload", 256).alias("digest"), "n_bytes", page_lines(F.col("text")).alias("lines"))
+    page = F.concat(F.unhex("digest"), F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    pages = media.parse_sequences(known.select(page.alias("page"), page_of(F.col("lines"), F.col("digest"), F.col("n_bytes")).alias("html")), "page", "html")
     # Of texts, digests travel; every item keeps its place.
-    pages = write_shared(pages.withColumn("items", F.transform("items", lambda i: i.withField("text", F.sha2(i["text"], 256)))), "pages")
-    whole = media.assemble(pages, media.resolve(media.references(pages, "page"), features), "page")
+    pages = write_shared(pages.withColumn("items", F.transform("items", lambda i: i.withField("text", F.unhex(F.sha2(i["text"], 256))))), "pages")
+    whole = media.assemble(pages, media.resolve(media.wanted(pages, "page"), features), "page")
     hexed = lambda c: F.lower(F.hex(c))
     shown = F.filter("items", lambda i: i["kind"] == "media")
     last = F.element_at("shown", -1)
     found = whole.select("page", "items", shown.alias("shown")).select("page", "items", "shown", last["found"].alias("f"), last["length"].alias("n_bytes"))
     return found.select(
-        F.expr("try_cast(split(page, ':')[0] AS bigint)").alias("doc_id"),
+        F.expr("try_cast(decode(substr(page, 33), 'UTF-8') AS bigint)").alias("doc_id"),
         "n_bytes",
         "f.payload_bytes",
         hexed("f.digest").alias("payload_sha256"),
@@ -62,7 +76,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.array_join(F.transform("shown", lambda i: i["position"].cast("string")), ",").alias("positions"),
         F.sha2(F.array_join(F.transform("shown", lambda i: i["caption"]), "\n", ""), 256).alias("captions_sha256"),
-        F.sha2(F.array_join(F.transform("items", lambda i: F.coalesce(i["text"], hexed(i["found"]["digest"]))), "\n"), 256).alias("sequence_sha256"),
+        F.sha2(F.array_join(F.transform("items", lambda i: hexed(F.coalesce(i["text"], i["found"]["digest"]))), "\n"), 256).alias("sequence_sha256"),
     )
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import itertools
+import os
 import random
 import re
 import time
@@ -102,6 +103,49 @@ def test_media_op(spark, docs, empty, tmp_path):
     assert queries.op1_media(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_media_store_is_gone(spark, tmp_path, monkeypatch):
+    """The stored payloads are deleted when they have been read back, before sequences are written."""
+    spark.createDataFrame([(1, "a\nb"), (2, "c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, write = [], queries.write_shared
+
+    def look(df, tag, **how):
+        out = write(df, tag, **how)
+        seen.append((tag, [os.path.isdir(f.removeprefix("file:").rsplit("/", 1)[0]) for f in stored]))
+        return out
+
+    stored, store = [], media.store_media
+    monkeypatch.setattr(media, "store_media", lambda *a: (out := store(*a), stored.extend(out.inputFiles()))[0])
+    monkeypatch.setattr(queries, "write_shared", look)
+    assert queries.op1_media(spark, str(tmp_path)).count() == 2
+    assert seen[0][0] == "features" and all(seen[0][1]) and stored
+    assert seen[1][0] == "pages" and not any(seen[1][1])
+
+
+def test_media_names_payloads_once(spark):
+    """A document's payload is looked up once, however often it is named; by name or by position the same comes back."""
+    sha = hashlib.sha256(b" " * 192).hexdigest()
+    pages = spark.createDataFrame([(1, f"<img src='sha256:{sha}'>t<img src='sha256:{sha}'><img src='http://x'>" * 2), (2, "t"), (None, f"<img src='sha256:{sha}'>")], "page_id long, html string")
+    features = media.media_features(media.store_media(spark.createDataFrame([(bytearray(b" " * 192),)], "p binary"), "p"))
+    seq = media.parse_sequences(pages, "page_id", "html")
+    named = media.wanted(seq, "page_id")
+    assert sorted((r["page_id"] or 0, r["media"]) for r in named.collect()) == [(0, sha), (1, sha), (1, "http://x")]
+    shape = lambda df: {r["page_id"]: [(i["position"], i["kind"], i["media"], i["found"] and i["found"]["payload_bytes"], i["found"] and i["found"]["feature"]) for i in r["items"]] for r in df.collect()}
+    once = shape(media.assemble(seq, media.resolve(named, features), "page_id"))
+    assert once == shape(media.assemble(seq, media.resolve(media.references(seq, "page_id"), features), "page_id"))
+    assert [i[3] for i in once[1]] == [192, None, 192, None] * 2 and once[None][0][3] == 192
+
+
+def test_media_pages_in_linear_time(spark):
+    """The middle line was counted anew for every line, which took the square of a text's lines."""
+    row = spark.createDataFrame([("some words\n" * 20000, "d" * 64, 5)], "text string, digest string, n int")
+    row = row.select(queries.page_lines(F.col("text")).alias("lines"), "digest", "n")
+    began = time.perf_counter()
+    page = row.select(queries.page_of(F.col("lines"), F.col("digest"), F.col("n")).alias("html")).first()["html"]
+    assert time.perf_counter() - began < 20
+    items = media.sequence(page)
+    assert len(items) == 20003 and [i["position"] for i in items if i["kind"] == "media"] == [1, 10001, 20002]
+
+
 # 2 suffix array
 
 
