@@ -249,3 +249,11 @@ def test_entities(spark):
     raw = ["a &eacute;&#233;&#xE9; &amp;amp; &lt;b&gt;", "&notreal; &#0; & &copy;", "plain", None, "&#128512;&nbsp;x"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").select(text.decode_entities(F.col("x"))).collect()]
     assert got == ["a ééé &amp; <b>", "&notreal; &#0; & ©", "plain", None, "😀\u00a0x"]
+
+
+def test_titles_keep_entities_without_semicolon():
+    """A title that was cut in the middle of an entity stays as it is, as in the SQL of html_titles."""
+    title = lambda t: markup.page_parts(f"<title>{t}</title><a href='/l?a=1&amp;b'>x</a>")["title"]
+    assert title("and&amp;&amp;&amp") == "and&&&amp" and title("x &quot") == "x &quot" and title("&#39") == "&#39" and title("&notit; &no") == "&notit; &no"
+    assert title("&lt;b&gt; &eacute;&#233;&#xE9; &amp;lt; &#39;") == "<b> ééé &lt; '"
+    assert markup.page_parts("<title>a &amp")["title"] == "a &amp" and markup.page_parts("<a href='/l?a=1&amp;b'>x</a>")["links"] == ["/l?a=1&b"]
