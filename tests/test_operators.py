@@ -257,3 +257,39 @@ def test_titles_keep_entities_without_semicolon():
     assert title("and&amp;&amp;&amp") == "and&&&amp" and title("x &quot") == "x &quot" and title("&#39") == "&#39" and title("&notit; &no") == "&notit; &no"
     assert title("&lt;b&gt; &eacute;&#233;&#xE9; &amp;lt; &#39;") == "<b> ééé &lt; '"
     assert markup.page_parts("<title>a &amp")["title"] == "a &amp" and markup.page_parts("<a href='/l?a=1&amp;b'>x</a>")["links"] == ["/l?a=1&b"]
+
+
+def test_keys_are_made_in_steps(spark):
+    """Each step once, however many steps build on it; the same keys as in one expression."""
+    raws = ["Acta D'Arachnologica N.S.", "ZOOLOGY new series 4", "Ann. Mus.CIVICO &amp; Storia", "THE ALL CAPITALS", "12 3", "", None, "fourth series of the Boletin n. f. 2"]
+    df = spark.createDataFrame(list(enumerate(raws)), "id long, raw string")
+    keyed = containers.keyed(df)
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(step) == 1 for step in ("[^a-zA-Z0-9 ]", r"[A-Z]{1,20}", "^[0-9]+$")), plan
+    want = df.select("id", *(c.alias(k) for k, c in text.name_keys(F.col("raw")).items()))
+    assert sorted(keyed.drop("raw").collect()) == sorted(want.collect())
+
+
+def test_token_lcs_of_one_way_likeness(spark):
+    from citeloom.functions.similarity import same_token, token_lcs
+
+    def brute(x, y):
+        row = [0] * (len(y) + 1)
+        for s in x:
+            before, row = row, [0]
+            for j, t in enumerate(y):
+                row.append(before[j] + 1 if same_token(s, t) else max(before[j + 1], row[-1]))
+        return 2 * row[-1] / (len(x) + len(y))
+
+    rng, words = random.Random(4), "a ab abc b bc qld queensland boln boletin acta act zoo zo c cd".split()
+    for _ in range(500):
+        x, y = rng.choices(words, k=rng.randrange(1, 14)), rng.choices(words, k=rng.randrange(1, 80))
+        assert token_lcs(" ".join(x), " ".join(y)) == brute(x, y)
+    assert token_lcs("", "a") == 0 and token_lcs(None, None) == 0 and token_lcs("a b", "a b") == 1
+
+
+def test_union_compares_no_pairs_of_unlike_length(spark):
+    """Pairs whose lengths rule a link out never reach the alignment in Python."""
+    df = names(spark, [("Acta bona" + " b" * i, None) for i in (1, 4, 12)]).withColumn("cluster_id", F.col("id"))
+    assert {r["cluster_id"] for r in containers.block_union(df, keys=("key_c",), threshold=0.85).collect()} == {0, 1, 2}
+    assert {r["id"]: r["cluster_id"] for r in containers.block_union(names(spark, [("Acta bona", "1"), ("Acta bona", "2"), ("Zoo", "2")]).withColumn("cluster_id", F.col("id")), keys=("key_b",), threshold=2.0).collect()} == {0: 0, 1: 1, 2: 1}
