@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,3 +294,13 @@ def test_union_compares_no_pairs_of_unlike_length(spark):
     df = names(spark, [("Acta bona" + " b" * i, None) for i in (1, 4, 12)]).withColumn("cluster_id", F.col("id"))
     assert {r["cluster_id"] for r in containers.block_union(df, keys=("key_c",), threshold=0.85).collect()} == {0, 1, 2}
     assert {r["id"]: r["cluster_id"] for r in containers.block_union(names(spark, [("Acta bona", "1"), ("Acta bona", "2"), ("Zoo", "2")]).withColumn("cluster_id", F.col("id")), keys=("key_b",), threshold=2.0).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_token_lcs_of_long_names():
+    """Twenty pairs of 1500 tokens (before: some 4 s each)."""
+    from citeloom.functions.similarity import token_lcs
+
+    rng, words, began = random.Random(8), "alpha beta gamma delta epsilon zeta kappa omega".split(), time.perf_counter()
+    for _ in range(20):
+        assert 0.3 < token_lcs(" ".join(rng.choices(words, k=1500)), " ".join(rng.choices(words, k=1500))) < 1
+    assert time.perf_counter() - began < 5
