@@ -304,3 +304,10 @@ def test_token_lcs_of_long_names():
     for _ in range(20):
         assert 0.3 < token_lcs(" ".join(rng.choices(words, k=1500)), " ".join(rng.choices(words, k=1500))) < 1
     assert time.perf_counter() - began < 5
+
+
+def test_beliefs_at_a_half(spark):
+    """What the sums of floats leave behind the tenth place decides no half: A and R end alike, and A came first (before: R)."""
+    votes = ["A", "H", "R", "N", "D", "D", "R", "A", "A", "R"]
+    r = spark.createDataFrame([(votes,)], "v array<string>").select(consensus.unique(F.col("v")).alias("u"), consensus.belief(F.col("v")).alias("b")).select(consensus.winner(F.col("u"), F.col("b")).alias("w")).first()
+    assert r["w"] == "A"
