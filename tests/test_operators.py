@@ -1,6 +1,7 @@
 """Linkage, consensus, containers, sources, exports and streaming on small inputs."""
 
 import json
+import math
 import random
 import time
 
@@ -311,3 +312,11 @@ def test_beliefs_at_a_half(spark):
     votes = ["A", "H", "R", "N", "D", "D", "R", "A", "A", "R"]
     r = spark.createDataFrame([(votes,)], "v array<string>").select(consensus.unique(F.col("v")).alias("u"), consensus.belief(F.col("v")).alias("b")).select(consensus.winner(F.col("u"), F.col("b")).alias("w")).first()
     assert r["w"] == "A"
+
+
+def test_page_coverage_rounds_hundredths(spark):
+    """Places that lie at half a hundredth of a percent are rounded as floats are in SQL (before: 33.0 for page 296955 of 900000)."""
+    pages = ["0-900000", *(f"{p}-{p + 3}" for p in (296955, 323955, 332955, 341955, 5, 450000))]
+    works = spark.createDataFrame([(str(i), p, "1", (1997,)) for i, p in enumerate(pages)], "_id string, page string, volume string, issued struct<year: bigint>")
+    got = {r["first"]: r["left"] for r in browse.page_coverage(works).collect()}
+    assert got == {p: math.floor(p * 100 / 900000 * 100 + 0.5) / 100 for p in got} and got[296955] == 32.99
