@@ -320,3 +320,24 @@ def test_page_coverage_rounds_hundredths(spark):
     works = spark.createDataFrame([(str(i), p, "1", (1997,)) for i, p in enumerate(pages)], "_id string, page string, volume string, issued struct<year: bigint>")
     got = {r["first"]: r["left"] for r in browse.page_coverage(works).collect()}
     assert got == {p: math.floor(p * 100 / 900000 * 100 + 0.5) / 100 for p in got} and got[296955] == 32.99
+
+
+def test_array_file_of_many_records(spark, tmp_path):
+    """Each record without the file's text behind it: work grows with the file, not with its square."""
+    records = [{"_id": f"r{i}", "title": f"A title of a record {i} " + "x" * 300} for i in range(20000)]
+    (tmp_path / "a.json").write_text(json.dumps(records))
+    began = time.perf_counter()
+    rows = csl.read_array(spark, str(tmp_path)).select("text", "bad").collect()
+    assert time.perf_counter() - began < 15 and len(rows) == 20000 and not any(r["bad"] for r in rows)
+    assert {json.loads(r["text"])["_id"] for r in rows} == {f"r{i}" for i in range(20000)}
+    plan = csl.read_array(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(items" in plan and "value" not in plan[: plan.index("Generate")]
+
+
+def test_arrays_of_bounded_files(spark, tmp_path):
+    for n, rows in enumerate(([], [1], [1, 2, 3], [1, 2, 3, 4, 5, 6], list(range(7)))):
+        path = str(tmp_path / str(n))
+        export.write_arrays(spark.createDataFrame([(json.dumps({"_id": str(i)}),) for i in rows], "record string").coalesce(1), path, most=3)
+        files = [json.loads(f.read_text()) for f in (tmp_path / str(n)).glob("part-*")]
+        assert sorted(x["_id"] for f in files for x in f) == sorted(map(str, rows)) and all(len(f) <= 3 for f in files)
+        assert csl.read_array(spark, path).filter("NOT bad").count() == len(rows)
