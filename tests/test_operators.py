@@ -341,3 +341,25 @@ def test_arrays_of_bounded_files(spark, tmp_path):
         files = [json.loads(f.read_text()) for f in (tmp_path / str(n)).glob("part-*")]
         assert sorted(x["_id"] for f in files for x in f) == sorted(map(str, rows)) and all(len(f) <= 3 for f in files)
         assert csl.read_array(spark, path).filter("NOT bad").count() == len(rows)
+
+
+def test_many_articles_and_pages(spark):
+    """Articles and pages are no tables of their own: what a worker hands back is bounded, and an article costs what its text costs."""
+    ref = '<ref id="R{i}"><element-citation><source>S</source><article-title>T{i}</article-title><year>1997a</year></element-citation></ref>'
+    xml = [(f'<article><front><article-meta><article-id pub-id-type="doi">10.9/{i}</article-id></article-meta></front><back><ref-list>{ref.format(i=i)}</ref-list></back></article>',) for i in range(12000)]
+    df = spark.createDataFrame(xml, "value string").coalesce(1).cache()
+    df.count()
+    began = time.perf_counter()
+    got = {r["_id"]: (r["title"], r["year"]) for r in markup.parse_jats(df).collect()}
+    assert time.perf_counter() - began < 10
+    assert got == {f"https://doi.org/10.9/{i}#R{i}": (f"T{i}", 1997) for i in range(12000)}
+
+
+def test_found_hands_back_bounded_batches():
+    import pyarrow as pa
+
+    schema = pa.schema([("n", pa.int64())])
+    find = lambda t: [{"n": len(t)}] * (len(t) % 3)
+    texts = ["x" * i for i in range(400)] + [None, "y" * 5_000_000, "z", "z"] + ["q"] * 9000
+    out = list(markup._found(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])]), find, schema))
+    assert sum(b.num_rows for b in out) == sum(len(t or "") % 3 for t in texts) and max(b.num_rows for b in out) <= markup.ROWS + 2 and len(out) >= 3
